@@ -24,11 +24,18 @@ CLASSES, ROWS, FEATURES = 32, 1 << 15, 4
 #: Words whose counts go to every task; the rest are joined.
 HEAD = 1 << 17
 ADD = 0.1
+#: The step of the gradient, and how many uses count as evidence for weights of 0.
+RATE, SHRINK = 4.0, 4.0
 END = xxhash.xxh64_intdigest(b"\n", 42) - (1 << 64) * (xxhash.xxh64_intdigest(b"\n", 42) >> 63)  # no word holds a line end
 
 
+#: Bytes at a word's end that its class follows from.
+LOOK = 5
+
+
 def class_of(word: bytes) -> int:
-    """A word's class by its looks: bars, numbers, marks at its end, and the last letters. The end's is 0."""
+    """A word's class by the looks of its last LOOK bytes: bars, numbers, marks, and the last letters. The end's is 0."""
+    word = word[-LOOK:]
     last = word[-1:]
     if last == b"!":
         return 3 + zlib.crc32(word.rstrip(b"!.,")[-2:]) % 3
@@ -61,12 +68,25 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return index, ends, [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
 
 
+class _Classes(dict):
+    """Classes by the last bytes, kept; there are few of them."""
+
+    def __missing__(self, look: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[look] = out = class_of(look)
+        return out
+
+
+_kept = _Classes()
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.array([*[xxhash.xxh64_intdigest(w, 42) for w in words]], np.uint64).view(np.int64)
 
 
 def classes_of(words: list[bytes]) -> np.ndarray:
-    return np.array([*[class_of(w) for w in words], 0], np.int64)
+    return np.array([*[_kept[w[-LOOK:]] for w in words], 0], np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +116,39 @@ def features(word: np.ndarray, klass: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.stack([(x >> np.uint64(64 - 15)).astype(np.int32) for x in raw], axis=1)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of the classes, within what single precision can raise e to."""
     z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z += bias
+    return np.clip(z, -60, 60, out=z)
+
+
+def log_chosen(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the softmax at the classes y."""
+    z = logits(weights, bias, rows)
+    own = z[np.arange(len(y)), y]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
 
+def summed(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: all runs by one row at a time while many are that long, then the few long ones each."""
+    out, k, live = values[begin], 1, np.flatnonzero(count > 1)
+    while len(live) >= 64:
+        out[live] += values[begin[live] + k]
+        k += 1
+        live = live[count[live] > k]
+    for i in live:
+        out[i] += values[begin[i] + k : begin[i] + count[i]].sum(axis=0)
+    return out
 
-def _train(batches: Iterator[pa.RecordBatch], rate: float = 0.5, step: int = 16384) -> Iterator[pa.RecordBatch]:
-    """Gradient steps over a task's share of the text; gives its weights, and how often each row was used."""
+
+def _train(batches: Iterator[pa.RecordBatch], bias: np.ndarray, rate: float = RATE, step: int = 16384) -> Iterator[pa.RecordBatch]:
+    """Gradient steps over a task's share of the text; gives its weights, and how often each row was used.
+
+    bias holds the classes' log shares, so that weights are what contexts change of them.
+    """
     weights, used = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.int64)
     for batch in batches:
         for part in portions(batch, "text"):
@@ -114,12 +157,14 @@ def _train(batches: Iterator[pa.RecordBatch], rate: float = 0.5, step: int = 163
             rows = features(np.append(hashes_of(words), END)[index], klass, ends)
             for at in range(0, len(rows), step):
                 r, y = rows[at : at + step], klass[at : at + step]
-                slope = np.exp(log_softmax(weights, r))
+                slope = logits(weights, bias, r)
+                np.exp(slope, out=slope)
+                slope /= slope.sum(axis=1, keepdims=True)
                 slope[np.arange(len(y)), y] -= 1
-                flat = r.ravel()
+                flat = r.ravel().astype(np.uint16)  # short integers are sorted by their digits
                 order = np.argsort(flat, kind="stable")
                 row, begin, count = np.unique(flat[order], return_index=True, return_counts=True)
-                total = np.add.reduceat(slope[order // FEATURES], begin, axis=0)
+                total = summed(slope[order // FEATURES], begin, count)
                 used[row] += count
                 # The step of a row shrinks as it is used: a mean slope, at most a bounded move.
                 weights[row] -= (rate * count**0.5 / used[row] ** 0.5 / count).astype(np.float32)[:, None] * total
@@ -129,11 +174,11 @@ def _train(batches: Iterator[pa.RecordBatch], rate: float = 0.5, step: int = 163
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(used[seen]), values], ["row", "used", "w"])
 
 
-def train_weights(texts: DataFrame) -> np.ndarray:
+def train_weights(texts: DataFrame, bias: np.ndarray) -> np.ndarray:
     """One pass of distributed gradient steps over all texts: each task descends over its own share, and a row's weights
-    are averaged by use. The result has a fixed size (ROWS * CLASSES floats)."""
-    own = texts.mapInArrow(_train, "row long, used long, w array<float>")
-    mean = [(F.sum(F.get("w", F.lit(i)) * F.col("used")) / F.sum("used")).cast("float").alias(f"w{i}") for i in range(CLASSES)]
+    are averaged by use; rarely used rows shrink. The result has a fixed size (ROWS * CLASSES floats)."""
+    own = texts.mapInArrow(partial(_train, bias=bias), "row long, used long, w array<float>")
+    mean = [(F.sum(F.get("w", F.lit(i)) * F.col("used")) / (F.sum("used") + F.lit(SHRINK))).cast("float").alias(f"w{i}") for i in range(CLASSES)]
     t = own.groupBy("row").agg(*mean).toArrow()
     weights = np.zeros((ROWS, CLASSES), np.float32)
     if t.num_rows:
@@ -141,9 +186,9 @@ def train_weights(texts: DataFrame) -> np.ndarray:
     return weights
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, size: int = 65536) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, size: int = 16384) -> Iterator[pa.RecordBatch]:
     """A row for each document: its tokens, the sums over words that it knows the counts of, and the hashes of others."""
-    weights, below, known, logs = model.value
+    weights, bias, below, known, logs = model.value
     for batch in batches:
         for part in portions(batch, "text"):
             index, ends, words = words_in(part.column(2))
@@ -154,7 +199,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, size: int = 65536) -> Itera
             log = np.where(head, logs[spot] if len(known) else 0.0, 0.0)
             k = klass[index]
             rows = features(hashes[index], k, ends)
-            p = np.concatenate([log_softmax(weights, rows[at : at + size])[np.arange(len(rows[at : at + size])), k[at : at + size]] for at in range(0, len(rows), size)])
+            p = np.concatenate([log_chosen(weights, bias, rows[at : at + size], k[at : at + size]) for at in range(0, len(rows), size)])
             inner = p.astype(np.float64) / np.log(10) - below[k]
             in_head = head[index]
             tail = hashes[index][~in_head]
@@ -191,7 +236,8 @@ def score(docs: DataFrame) -> DataFrame:
     top = counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "n").toArrow()
     order = np.argsort(top["h"].to_numpy())
     known, logs = top["h"].to_numpy()[order], np.log10(top["n"].to_numpy()[order] + ADD)
-    model = docs.sparkSession.sparkContext.broadcast((train_weights(train), below, known, logs))
+    bias = np.log([(of_class.get(k, (0, 0))[0] + 1) / (total + CLASSES) for k in range(CLASSES)]).astype(np.float32)
+    model = docs.sparkSession.sparkContext.broadcast((train_weights(train, bias), bias, below, known, logs))
     own = written(rows.mapInArrow(partial(_score, model=model), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = own.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("t"))
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
