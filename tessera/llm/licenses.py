@@ -18,6 +18,11 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
