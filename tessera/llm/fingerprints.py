@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let, partitions, whole, words_of
 
-#: Words of a gram, and grams of a window: any WORDS + WINDOW - 1 = 12 words that two texts share leave a common mark.
-WORDS, WINDOW = 5, 8
+#: Words of a gram, and grams of a window: any WORDS + WINDOW - 1 = 8 words that two texts share leave a common mark.
+WORDS, WINDOW = 5, 4
 #: The rolling hash is a polynomial in BASE over the field of PRIME.
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 LAST = (1 << 32) - 1

@@ -87,7 +87,7 @@ def test_fingerprints(docs, plain):
     got = {r.doc_id: r for r in fingerprints.edited(docs).collect()}
     assert len(got) == len(plain)
     word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(w.encode(), 42) >> 63)
-    mark = lambda t: brute.winnow(t, 5, 8, word)
+    mark = lambda t: brute.winnow(t, 5, 4, word)
     show = lambda m: ",".join(f"{h:X}@{p}" for h, p in m)
 
     def alike(a, b):
@@ -111,10 +111,10 @@ def test_fingerprints(docs, plain):
 
 
 def test_shared_words_leave_a_common_mark(spark):
-    """The guarantee: any 12 words in common are found."""
+    """The guarantee: any 8 words in common are found."""
     draw = np.random.default_rng(1)
     word = lambda n: " ".join(f"w{int(x)}" for x in draw.integers(10_000, size=n))
-    shared = [word(12) for _ in range(50)]
+    shared = [word(8) for _ in range(50)]
     rows = [(f"{word(int(draw.integers(30)))} {s} {word(9)}", f"{word(7)} {s} {word(int(draw.integers(30)))}") for s in shared]
     df = spark.createDataFrame(rows, "a string, b string")
     from pyspark.sql import functions as F
