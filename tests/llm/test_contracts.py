@@ -179,18 +179,21 @@ def test_packing(docs, plain):
     assert packing.pack(empty(docs), tokenizer_file()).count() == 0
 
 
-def test_encoder_equals_the_tokenizer_on_white_space():
+def test_encoder_equals_the_tokenizer(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    enc = packing.WordwiseEncoder(tokenizer_file())
+    enc = packing.encoder(tokenizer_file())
 
-    @settings(max_examples=400, deadline=None)
-    @given(st.lists(st.text(alphabet=" \n\t ab'sX1.,é <|>", max_size=14), max_size=4))
-    def same(texts):
-        assert enc.encode(texts) == enc.raw(texts)
+    def same(text):
+        assert enc.encode(text) == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    same()
+    settings(max_examples=600, deadline=None)(given(st.text(alphabet=" \n\t\rab'sX19.,éßñŁ<|>", max_size=40))(same))()
+    settings(max_examples=300, deadline=None)(given(st.text(max_size=30))(same))()
+    for code in [*range(0x20, 0x7F), *range(0xC0, 0x250)]:
+        same(f"a{chr(code)} {chr(code)}b  {chr(code)}1")
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        same(r.text)
 
 
 def test_mixing(docs, plain):
