@@ -49,16 +49,21 @@ def _rows(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(have, pa.list_(pa.int32()))], ["doc_id", *CATEGORIES, "have"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, junk, toxic, abusive) of labelled documents; contradictory labels count as bad."""
+def drawn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, text, junk, toxic, abusive) of about train_rows labelled documents, drawn by hash.
+
+    Contradictory labels count as bad. As the draw is bounded, it is sent to the documents; no text is shuffled.
+    """
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min(F.coalesce("quality", F.lit(1))).alias("q"))
+    share = 1_000_000 * min(1.0, train_rows / max(1, labels.count()))
     flags = one.select("doc_id", (F.col("q") == 0).alias("junk"), (F.col("t") == 1).alias("toxic"), ((F.col("t") == 1) & (F.col("q") == 1)).alias("abusive"))
-    return docs.select("doc_id", "text").join(flags, "doc_id")
+    flags = flags.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.lit(share))
+    return docs.select("doc_id", "text").join(F.broadcast(flags), "doc_id")
 
 
 def features(rows: DataFrame, words: int = WORDS) -> list[str]:
-    """The words that tell most, by each category's chi-squared over all labelled documents. Two tables of a word's
-    counts are summed over the cluster; just the chosen words reach the driver."""
+    """The words that tell most, by each category's chi-squared over the drawn documents. A word's counts are summed
+    over the cluster; just the chosen words reach the driver."""
     counts = written(rows.select("text", *CATEGORIES).mapInArrow(_word_counts, "word string, n long, " + ", ".join(f"{c} long" for c in CATEGORIES)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)]).filter("n >= 5"), "terms")
     total = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in CATEGORIES]).first()
     chosen: dict[str, None] = {}
@@ -74,15 +79,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
-    """Logistic regression (last weight: the constant) by accelerated gradient descent."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 150) -> np.ndarray:
+    """Logistic regression (last weight: the constant) by accelerated gradient descent, in single precision."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(x.shape[1])
-    step = 4 / (np.linalg.norm(x, 2) ** 2 + 4 * ridge)
+    u = np.ones(x.shape[1], np.float32)
+    for _ in range(15):  # the greatest eigenvalue, for the step
+        u = x.T @ (x @ u)
+        top = np.linalg.norm(u)
+        u /= max(top, 1e-9)
+    w = v = np.zeros(x.shape[1], np.float32)
+    step = np.float32(4 / (1.05 * top + 4 * ridge))
     for k in range(rounds):
-        slope = x.T @ (sigmoid(x @ v) - y) + ridge * np.append(v[:-1], 0)
+        slope = x.T @ (sigmoid(x @ v) - y) + np.float32(ridge) * np.append(v[:-1], np.float32(0))
         new = v - step * slope
-        v, w = new + k / (k + 3) * (new - w), new
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -140,19 +150,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, p_junk, p_toxic, p_abusive, is_toxic) for each row of docs, from its whole text.
 
-    Words are chosen by counts over all labelled documents; the models are fitted on about train_rows of them, drawn by
-    hash (the bound that classifiers may have), and the threshold is that of the best F1 out of fold. Nulls are empty
+    Words, models and threshold (that of the best F1 out of fold) are fitted on about train_rows labelled documents,
+    drawn by hash: the bound that classifiers may have. Nulls are empty
     texts; repeated rows are alike; without labels of both kinds nothing is toxic (probabilities 0).
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = labelled(own, labels)
+    rows = written(drawn(own, labels, train_rows), "drawn")
     words = features(rows)
     if not words:
         return own.select("doc_id", *[F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES], F.lit(False).alias("is_toxic"))
-    n = labels.count()
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, train_rows / max(1, n))))
-    t = drawn.mapInArrow(partial(_rows, words=words), "doc_id long, " + ", ".join(f"{c} boolean" for c in CATEGORIES) + ", have array<int>").toArrow().sort_by("doc_id")
+    t = rows.mapInArrow(partial(_rows, words=words), "doc_id long, " + ", ".join(f"{c} boolean" for c in CATEGORIES) + ", have array<int>").toArrow().sort_by("doc_id")
     x = np.zeros((t.num_rows, len(words)), np.float32)
     for i, have in enumerate(t["have"].to_pylist()):
         x[i, have] = 1
