@@ -89,7 +89,7 @@ def nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k:
         slack = 1e-9 * (1 + np.abs(edge)) + 1e-12 * norms.max(initial=0)
         for i in range(len(part)):
             near = np.flatnonzero((rough[i] <= edge[i] + slack[i]) & (rough[i] < np.inf))
-            d = np.sqrt(((c[near] - part[i]) ** 2).sum(axis=1))
+            d = np.sqrt(np.cumsum((c[near] - part[i]) ** 2, axis=1)[:, -1])  # from the first component to the last
             best = np.lexsort((c_id[near], d))[:k]
             own.append(np.full(len(best), q_id[at + i]))
             ids.append(c_id[near][best])

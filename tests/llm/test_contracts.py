@@ -291,6 +291,17 @@ def test_nearest(spark, sf):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(9100, 1, 9101, 0.0)]
 
 
+def test_nearest_against_sql(spark, sf):
+    import duckdb
+
+    from tessera.llm import entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(entry.oracle_sql()["op2_nearest"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in entry.op2_nearest(spark, sf).collect())
+
+
 def test_curves_alone_find_clustered_neighbours(spark):
     draw = np.random.default_rng(2)
     centres = draw.standard_normal((60, 32)) * 4
