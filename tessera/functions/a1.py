@@ -5,41 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.once import once
+
 # A sheet's rows and columns.
 MAX_ROW, MAX_COL = 1_048_576, 16_384
 
 
 def col_letters(index: Column) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA ... 16384 -> XFD; null outside."""
-    i = index.cast("int")
-    letter = lambda x: F.chr((F.lit(65) + x).cast("int"))
-    low = letter((i - 1) % 26)
-    mid = letter(F.floor((i - 27) / 26) % 26)
-    top = letter(F.floor((i - 703) / 676) % 26)
-    return F.when((i < 1) | (i > MAX_COL), None).when(i <= 26, low).when(i <= 702, F.concat(mid, low)).otherwise(F.concat(top, mid, low))
+
+    def of(i: Column) -> Column:
+        letter = lambda x: F.chr((F.lit(65) + x).cast("int"))
+        low, mid, top = letter((i - 1) % 26), letter(F.floor((i - 27) / 26) % 26), letter(F.floor((i - 703) / 676) % 26)
+        return F.when((i < 1) | (i > MAX_COL), None).when(i <= 26, low).when(i <= 702, F.concat(mid, low)).otherwise(F.concat(top, mid, low))
+
+    return once(index.cast("int"), of)
 
 
 def col_index(letters: Column) -> Column:
     """A -> 1 ... XFD -> 16384, in either case; null for anything else."""
-    up = F.upper(letters)
-    digits = F.transform(F.split(up, ""), lambda c: F.ascii(c) - 64)
-    value = F.aggregate(F.filter(digits, lambda d: d > 0), F.lit(0), lambda a, d: a * 26 + d)
-    return F.when(up.rlike("^[A-Z]{1,3}\\z") & (value <= MAX_COL), value)
+
+    def of(up: Column) -> Column:
+        digits = F.transform(F.split(up, ""), lambda c: F.ascii(c) - 64)
+        value = F.aggregate(F.filter(digits, lambda d: d > 0), F.lit(0), lambda a, d: a * 26 + d)
+        return once(value, lambda v: F.when(up.rlike("^[A-Z]{1,3}\\z") & (v <= MAX_COL), v))
+
+    return once(F.upper(letters), of)
 
 
 def parse_range(text: Column) -> Column:
     """struct<c0, r0, c1, r1> of A1, $A$1 or A1:B2 with its corners in order; null where it is no range of a sheet."""
-    part = lambda k: F.regexp_extract(text, r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})(?::\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6}))?\z", k)
-    c0, r0 = col_index(part(1)), F.try_to_number(F.nullif(part(2), F.lit("")), F.lit("9999999")).cast("int")
-    c1 = F.when(part(3) == "", c0).otherwise(col_index(part(3)))
-    r1 = F.when(part(4) == "", r0).otherwise(F.try_to_number(F.nullif(part(4), F.lit("")), F.lit("9999999")).cast("int"))
-    fine = c0.isNotNull() & c1.isNotNull() & (r0 <= MAX_ROW) & (r1 <= MAX_ROW)
-    return F.when(fine, F.struct(F.least(c0, c1).alias("c0"), F.least(r0, r1).alias("r0"), F.greatest(c0, c1).alias("c1"), F.greatest(r0, r1).alias("r1")))
+    form = r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})(?::\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6}))?\z"
+    part = lambda k: F.regexp_extract(text, form, k)
+
+    def corners(p: Column) -> Column:
+        first = F.struct(col_index(p["a"]).alias("c"), p["b"].try_cast("int").alias("r"))
+        return once(first, lambda f: F.struct(f.alias("f"), F.when(p["c"] == "", f).otherwise(F.struct(col_index(p["c"]).alias("c"), p["d"].try_cast("int").alias("r"))).alias("l")))
+
+    def ordered(x: Column) -> Column:
+        f, last = x["f"], x["l"]
+        fine = f["c"].isNotNull() & last["c"].isNotNull() & (f["r"] <= MAX_ROW) & (last["r"] <= MAX_ROW)
+        return F.when(fine, F.struct(F.least(f["c"], last["c"]).alias("c0"), F.least(f["r"], last["r"]).alias("r0"), F.greatest(f["c"], last["c"]).alias("c1"), F.greatest(f["r"], last["r"]).alias("r1")))
+
+    return once(once(F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")), corners), ordered)
 
 
 def print_range(r: Column) -> Column:
-    first, last = F.concat(col_letters(r["c0"]), r["r0"].cast("string")), F.concat(col_letters(r["c1"]), r["r1"].cast("string"))
-    return F.when(first == last, first).otherwise(F.concat_ws(":", first, last))
+    def of(x: Column) -> Column:
+        ends = F.struct(F.concat(col_letters(x["c0"]), x["r0"].cast("string")).alias("a"), F.concat(col_letters(x["c1"]), x["r1"].cast("string")).alias("b"))
+        return once(ends, lambda e: F.when(e["a"] == e["b"], e["a"]).otherwise(F.concat(e["a"], F.lit(":"), e["b"])))
+
+    return once(r, of)
 
 
 def intersects(a: Column, b: Column) -> Column:

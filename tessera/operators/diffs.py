@@ -138,8 +138,11 @@ def edit_of(text: str, edits: Sequence[tuple[str, str]]) -> str:
 
 
 def map_position(at: int, ops: Sequence[tuple], right: bool = False) -> int:
-    """Where an offset goes through opcodes; inside a change to its start, or its end with right."""
+    """Where an offset goes through opcodes; inside a change to its start, or its end with right. So does an offset at
+    which text comes in."""
     for tag, i1, i2, j1, j2 in ops:
-        if i1 <= at < i2 or (at == i2 and not right):
+        if i1 < at < i2:
             return j1 + (at - i1) if tag == "equal" else (j2 if right else j1)
+        if at == i1:
+            return j2 if i1 == i2 and right else j1
     return ops[-1][4] if ops else at
