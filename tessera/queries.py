@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import a1, chars, values
-from tessera.operators import aggregates, blocks, diffs, lookups, revisions, safety, tables, validation, windows
+from tessera.functions import a1, chars, units, values
+from tessera.operators import aggregates, blocks, diffs, entries, lookups, matching, revisions, safety, tables, validation, windows
 from tessera.plans import formula
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -445,6 +445,96 @@ def map_overlay(spark, d):
     return rows.select("id", text(whole).alias("all"), F.when(F.col("id") == "a", text(values.map_minus(whole, F.create_map(F.lit("bold"), F.lit("1"))))).otherwise(text(values.map_minus(whole, F.create_map(F.lit("bold"), F.lit("0"))))).alias("diff"))
 
 
+# Matches
+
+
+@query("SELECT p_partkey, CASE WHEN h % 100 = 0 THEN concat(h // 100, 'pt') WHEN h % 10 = 0 THEN concat(h // 100, '.', (h % 100) // 10, 'pt') ELSE concat(h // 100, '.', lpad(CAST(h % 100 AS VARCHAR), 2, '0'), 'pt') END AS shown, h AS back FROM (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS h FROM part)")
+def num_length(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", units.length_text(F.round(F.col("p_retailprice") * 100).cast("long")).alias("shown"))
+    return rows.withColumn("back", units.parse_length(F.col("shown")))
+
+
+@query("SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{2E80}-\\x{312F}\\x{3190}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{3FFFF}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'latin' WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'hangul' ELSE 'cjk' END AS script FROM documents WHERE text IS NOT NULL")
+def txt_script(spark, d):
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", units.script(F.col("text")).alias("script"))
+
+
+@query("SELECT * FROM (VALUES ('Net', 'Sheet1!A1', 2), ('mid', 'Sheet1!A1', 1), ('end', 'Sheet1!A1', 0), ('loop', NULL, 8)) AS t(name, target, steps)")
+def join_names(spark, d):
+    return matching.defined_names(spark.createDataFrame([("Net", "MID"), ("mid", "End"), ("end", "Sheet1!A1"), ("loop", "Loop")], "name string, refers string"))
+
+
+@query(f"WITH g AS ({RANGES}), c AS (SELECT DISTINCT CAST(event_id % 97 AS BIGINT) AS r, CAST(event_id % 89 AS BIGINT) AS k FROM events WHERE event_id % 11 = 0) SELECT id FROM g WHERE EXISTS (SELECT 1 FROM c WHERE c.r BETWEEN g.r0 AND g.r1 AND c.k BETWEEN g.c0 AND g.c1)")
+def join_dirty_areas(spark, d):
+    """Areas that hold a changed cell."""
+    events = read(spark, d, "events")
+    events.createOrReplaceTempView("tessera_events")
+    areas = spark.sql(RANGES.replace("FROM events", "FROM tessera_events")).select("id", F.lit("s").alias("sheet"), "c0", "r0", "c1", "r1")
+    cells = events.filter("event_id % 11 = 0").select(F.lit("s").alias("sheet"), (F.col("event_id") % 97).alias("row"), (F.col("event_id") % 89).alias("col"))
+    return matching.touched(areas, cells)
+
+
+@query("SELECT user_id, event_id AS label, kind, CASE WHEN kind = 'endnote' THEN 'e' ELSE '' END || row_number() OVER (PARTITION BY user_id, kind ORDER BY pos, event_id) AS number FROM (SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN 'endnote' ELSE 'footnote' END AS kind, event_id % 101 AS pos FROM events WHERE value > 20)")
+def join_notes(spark, d):
+    events = read(spark, d, "events").withColumnRenamed("event_id", "label")
+    uses = events.filter("value > 20").select("user_id", "label", (F.col("label") % 101).alias("pos"))
+    notes = events.select("user_id", "label", F.when(F.col("event_type") == "click", "endnote").otherwise("footnote").alias("kind"), F.col("props").alias("text"))
+    return matching.numbered_notes(uses, notes, "user_id").select("user_id", "label", "kind", "number")
+
+
+@query(f"""WITH {VERSIONS} SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, CASE WHEN o.s_suppkey IS NULL THEN 'add' WHEN n.s_suppkey IS NULL THEN 'drop' ELSE 'change' END AS op, n.s_acctbal AS s_acctbal FROM old o FULL JOIN new n ON o.s_suppkey = n.s_suppkey WHERE o.s_suppkey IS NULL OR n.s_suppkey IS NULL OR o.s_acctbal <> n.s_acctbal""")
+def join_reconcile(spark, d):
+    old = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    new = old.select(F.when(F.col("s_suppkey") % 13 == 0, F.col("s_suppkey") + 100000).otherwise(F.col("s_suppkey")).alias("s_suppkey"), F.when(F.col("s_suppkey") % 7 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
+    return matching.reconciled(old, new, ["s_suppkey"], ["s_acctbal"])
+
+
+@query("SELECT user_id, event_type AS fp, CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS BIGINT) AS landed, CAST(count(*) FILTER (WHERE event_id % 3 <> 0 AND event_type <> 'click') AS BIGINT) AS orphaned, CAST(count(*) FILTER (WHERE event_id % 3 <> 0 AND event_type = 'click') AS BIGINT) AS lost FROM (SELECT * FROM events WHERE event_type <> 'click' OR event_id % 3 <> 0) GROUP BY user_id, event_type")
+def agg_outcomes(spark, d):
+    rows = read(spark, d, "events").filter("event_type <> 'click' or event_id % 3 <> 0").select("user_id", F.col("event_type").alias("fp"), F.col("event_id").alias("path"))
+    return matching.tally(rows, rows.filter("path % 3 = 0"), ["user_id", "fp"])
+
+
+@query("SELECT a.turn AS old, b.turn + 2 AS new, a.conv_id FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def map_compose(spark, d):
+    """What one step and the next keep."""
+    rows = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("old"))
+    return entries.composed(rows.withColumn("new", F.col("old") + 1), rows.withColumn("new", F.col("old") + 2), "conv_id").select("old", "new", "conv_id")
+
+
+@query("SELECT user_id, event_id, max(event_id % 101) OVER (PARTITION BY user_id ORDER BY event_id) AS to_start FROM events")
+def place_in_order(spark, d):
+    rows = read(spark, d, "events").select("user_id", F.lit(1).alias("para"), F.col("event_id").alias("start"), F.lit(0).alias("seq"), F.lit(1).alias("to_para"), (F.col("event_id") % 101).alias("to_start"))
+    return entries.in_order(rows, "user_id").select("user_id", F.col("start").alias("event_id"), "to_start")
+
+
+@query("SELECT user_id, event_id, value <= 50 AND sum(CASE WHEN value <= 50 THEN v ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) <= 300000 AS shown FROM (SELECT user_id, event_id, value, CAST(round(value * 1000) AS BIGINT) AS v FROM events)")
+def agg_picture_budget(spark, d):
+    rows = read(spark, d, "events").select("user_id", F.col("event_id").alias("page"), F.lit(0).alias("seq"), F.round(F.col("value") * 1000).cast("long").alias("bytes"))
+    return entries.within_budget(rows, "user_id", 50_000, 300_000).select("user_id", F.col("page").alias("event_id"), "shown")
+
+
+@query()
+def txt_tracked(spark, d):
+    rows = turns(spark, d).filter("text1 is not null").select("conv_id", "turn", F.col("text").alias("old"), F.col("text1").alias("new"))
+    return entries.tracked(rows.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "engine", "id")
+
+
+@query()
+def place_entries(spark, d):
+    """Every document's first and last hundred letters, through an edit that puts a word before the text."""
+    docs = read(spark, d, "documents").filter("text is not null and length(text) > 200 and length(text) < 5000")
+    n = F.length("text")
+    marks = F.array(F.struct(F.lit(1).alias("id"), F.lit(0).alias("start"), F.lit(100).alias("end")), F.struct(F.lit(2).alias("id"), (n - 100).alias("start"), n.alias("end")))
+    rows = docs.select("doc_id", F.explode(marks).alias("x")).select("doc_id", "x.*")
+    return entries.placed(rows, docs.select("doc_id", F.col("text").alias("old"), F.concat(F.lit("Again: "), F.col("text")).alias("new")))
+
+
+@query()
+def keep_ids(spark, d):
+    return entries.keep_ids(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("fp")))
+
+
 @query("SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem GROUP BY l_returnflag")
 def flagship(spark, d):
     """A calculated column, then SUMIFS by flag."""

@@ -117,6 +117,24 @@ def sheet_cells(data: bytes) -> Iterator[dict]:
             yield {"sheet": sheet.get("name"), "row": row, "col": col, "value": v, "formula": kids["f"].text if "f" in kids else None, "error": None}
 
 
+def paragraph_text(p: ET.Element) -> str:
+    """Text, line breaks and tabs of a paragraph in order; what properties hold (tab stops, say) is no text."""
+    out: list[str] = []
+
+    def walk(e: ET.Element) -> None:
+        kind = local(e.tag)
+        if kind.endswith("Pr"):
+            return
+        out.append((e.text or "") if kind == "t" else "\n" if kind in ("br", "lineBreak") else "\t" if kind == "tab" else "")
+        for c in e:
+            walk(c)
+            if kind == "t":
+                out.append(c.tail or "")
+
+    walk(p)
+    return "".join(out)
+
+
 def document_blocks(data: bytes) -> Iterator[dict]:
     """Paragraphs and table cells of a word-processing document (docx, hwpx), in order."""
     parts = dict(unzip(data))
@@ -128,8 +146,7 @@ def document_blocks(data: bytes) -> Iterator[dict]:
         for p in (e for e in tree(parts[main]).iter() if local(e.tag) == "p"):
             style = next((next(iter(s.attrib.values()), "") for s in p.iter() if local(s.tag) == "pStyle"), "")
             level = int(re.sub(r"\D", "", style) or 0) if style.lower().startswith("heading") else 0
-            text = "".join((t.text or "") if local(t.tag) == "t" else "\n" if local(t.tag) in ("br", "lineBreak") else "\t" if local(t.tag) == "tab" else "" for t in p.iter())
-            yield {"block": block, "kind": "heading" if level else "para", "level": level, "text": text, "error": None}
+            yield {"block": block, "kind": "heading" if level else "para", "level": level, "text": paragraph_text(p), "error": None}
             block += 1
 
 
@@ -139,7 +156,7 @@ def slide_blocks(data: bytes) -> Iterator[dict]:
     block = 0
     for n in sorted(int(m[1]) for m in (re.fullmatch(r"ppt/slides/slide(\d+)\.xml", x) for x in parts) if m):
         for p in (e for e in tree(parts[f"ppt/slides/slide{n}.xml"]).iter() if local(e.tag) == "p"):
-            yield {"block": block, "kind": "slide", "level": n, "text": "".join(t.text or "" for t in p.iter() if local(t.tag) == "t"), "error": None}
+            yield {"block": block, "kind": "slide", "level": n, "text": paragraph_text(p), "error": None}
             block += 1
 
 
