@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import itertools
 import re
 
 import pandas as pd
@@ -9,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lazy import arrow_udf
-from tessera.operators.diffs import opcodes
 from tessera.operators.revisions import fnv1a
 
 # Bytes of a picture or a page, and of a document's pictures, at most.
@@ -35,11 +36,18 @@ def keep_ids(objects: DataFrame, by: str = "doc_id", seq: str = "seq", fp: str =
 
 
 def word_changes(a: str | None, b: str | None) -> list[dict]:
-    """Opcodes of two texts in characters, by their words and single white-space characters."""
+    """Opcodes of two texts in characters, by their words and single white-space characters. What both begin and end with
+    is set aside first, and white space starts no match of its own, so cost follows the words between."""
     x, y = (re.findall(r"\s|\S+", t or "") for t in (a, b))
-    ends = lambda words: [0, *pd.Series([len(w) for w in words], dtype="int64").cumsum().tolist()]
-    at, to = ends(x), ends(y)
-    return [{"tag": t, "i1": at[i1], "i2": at[i2], "j1": to[j1], "j2": to[j2]} for t, i1, i2, j1, j2 in opcodes(x, y)]
+    n, lo, hi = min(len(x), len(y)), 0, 0
+    while lo < n and x[lo] == y[lo]:
+        lo += 1
+    while hi < n - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    mid = difflib.SequenceMatcher(str.isspace, x[lo : len(x) - hi], y[lo : len(y) - hi], autojunk=False).get_opcodes()
+    ops = [("equal", 0, lo, 0, lo), *((t, *(k + lo for k in at)) for t, *at in mid), ("equal", len(x) - hi, len(x), len(y) - hi, len(y))]
+    at, to = ([0, *itertools.accumulate(map(len, words))] for words in (x, y))
+    return [{"tag": t, "i1": at[i1], "i2": at[i2], "j1": to[j1], "j2": to[j2]} for t, i1, i2, j1, j2 in ops if i1 < i2 or j1 < j2]
 
 
 @arrow_udf(OPS)
