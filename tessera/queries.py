@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import a1, chars, units, values
-from tessera.operators import aggregates, blocks, diffs, entries, lookups, matching, revisions, safety, tables, validation, windows
+from tessera.operators import aggregates, blocks, diffs, entries, lookups, matching, revisions, safety, sheets, tables, validation, windows
 from tessera.plans import formula
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,6 +514,21 @@ def agg_picture_budget(spark, d):
     return entries.within_budget(rows, "user_id", 50_000, 300_000).select("user_id", F.col("page").alias("event_id"), "shown")
 
 
+@query("SELECT user_id AS sheet, min(event_id % 97) AS c0, min(event_id % 1009) AS r0, max(event_id % 97) AS c1, max(event_id % 1009) AS r1 FROM events GROUP BY user_id")
+def agg_used_range(spark, d):
+    return sheets.used_ranges(read(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.col("event_id") % 97).alias("col"), (F.col("event_id") % 1009).alias("row")))
+
+
+@query(f"WITH g AS ({RANGES}), c AS (SELECT event_id, user_id % 50 AS sheet, (event_id * 7) % 1009 AS r, (event_id * 5) % 97 AS k FROM events) SELECT event_id FROM c WHERE EXISTS (SELECT 1 FROM g WHERE g.sheet = c.sheet AND c.r BETWEEN g.r0 AND g.r1 AND c.k BETWEEN g.c0 AND g.c1 AND NOT (c.r = g.r0 AND c.k = g.c0))")
+def val_merge_cover(spark, d):
+    """Cells that a merge covers."""
+    events = read(spark, d, "events")
+    events.createOrReplaceTempView("tessera_events")
+    merges = spark.sql(RANGES.replace("FROM events", "FROM tessera_events"))
+    cells = events.select("event_id", (F.col("user_id") % 50).alias("sheet"), (F.col("event_id") * 7 % 1009).alias("row"), (F.col("event_id") * 5 % 97).alias("col"))
+    return sheets.covered(cells, merges).select("event_id")
+
+
 @query()
 def txt_tracked(spark, d):
     rows = turns(spark, d).filter("text1 is not null").select("conv_id", "turn", F.col("text").alias("old"), F.col("text1").alias("new"))
