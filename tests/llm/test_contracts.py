@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from tessera.llm import ann, fingerprints, lm, mixing, packing, secrets, simhash
+from tessera.llm import ann, fingerprints, lm, mixing, near, packing, secrets, simhash
 from tessera.llm.entry import tokenizer_file
 
 LONG = "Alpha beta gamma delta. " * 3000
@@ -83,6 +83,44 @@ def test_keep_first_keeps_one_of_each(docs, plain):
     assert twice.count() == len(ids) - 1
 
 
+def grams_of(text):
+    words = brute.WORD.findall(brute.lower(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def planted(seed=11):
+    """Texts of 100 to 300 words, each with copies of one to six changed words, and a group of 60 copies of one text."""
+    draw = np.random.default_rng(seed)
+    words = lambda n: [f"w{x}" for x in draw.integers(0, 5000, n)]
+    out = []
+    for k in range(40):
+        base = words(100 + 50 * (k % 5))
+        for changed in (0, *([1, 2, 3] * 20 if k == 0 else [1, 1 + k % 6])):
+            copy = list(base)
+            for at in draw.choice(len(base), changed, replace=False):
+                copy[at] = f"new{draw.integers(1 << 30)}"
+            out.append(" ".join(copy))
+    return [(1000 + i, t) for i, t in enumerate(out)]
+
+
+def test_the_pipelines_near_duplicates_are_those_of_similarity(spark, docs):
+    import corpus_pipeline
+
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {i: grams_of(t) for i, t in rows}
+    linked = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    want = sorted(set(brute.components([i for i, _ in rows], linked).values()))
+    assert len(want) < 100 < len(rows)
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert sorted(r.doc_id for r in stage(spark, df, "").collect()) == want
+    assert sorted(r.doc_id for r in near.one_of_similar(df.repartition(7), block=8).collect()) == want
+    twice = near.one_of_similar(docs.unionByName(docs))
+    ids = [r.doc_id for r in twice.collect()]
+    assert twice.columns == docs.columns and ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
+    assert near.one_of_similar(empty(docs)).count() == 0
+
+
 def test_fingerprints(docs, plain):
     got = {r.doc_id: r for r in fingerprints.edited(docs).collect()}
     assert len(got) == len(plain)
