@@ -538,9 +538,9 @@ def txt_tracked(spark, d):
 @query()
 def place_entries(spark, d):
     """Every document's first and last hundred letters, through an edit that puts a word before the text."""
-    docs = read(spark, d, "documents").filter("text is not null and length(text) > 200 and length(text) < 5000")
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
-    marks = F.array(F.struct(F.lit(1).alias("id"), F.lit(0).alias("start"), F.lit(100).alias("end")), F.struct(F.lit(2).alias("id"), (n - 100).alias("start"), n.alias("end")))
+    marks = F.array(F.struct(F.lit(1).alias("id"), F.lit(0).alias("start"), F.least(n, F.lit(100)).alias("end")), F.struct(F.lit(2).alias("id"), F.greatest(n - 100, F.lit(0)).alias("start"), n.alias("end")))
     rows = docs.select("doc_id", F.explode(marks).alias("x")).select("doc_id", "x.*")
     return entries.placed(rows, docs.select("doc_id", F.col("text").alias("old"), F.concat(F.lit("Again: "), F.col("text")).alias("new")))
 

@@ -108,6 +108,18 @@ def test_placement(spark, old, new, span, want):
     assert rows(entries.placed(e, v), "status", "start", "end") == [want]
 
 
+def test_place_entries_takes_every_document(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    texts = [None, "", "short", "one two " * 20, "word and word " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        n, by = len(t or ""), len("Again: ")
+        want += [(i, 1, "placed", by, by + min(100, n)), (i, 2, "placed", by + max(0, n - 100), by + n)]
+    assert rows(QUERIES["place_entries"](spark, str(tmp_path)), "doc_id", "id", "status", "start", "end") == sorted(want, key=repr)
+
+
 def test_trims_and_near_misses(spark):
     assert entries.trim_of("the big house", "the small house") == (4, "big", "small")
     assert entries.trim_of("a  b", "a b") == (2, " ", "") and entries.trim_of(None, "x") == (0, "", "x") and entries.trim_of("a a", "a") == (1, " a", "")
