@@ -1,11 +1,17 @@
-"""LM scoring: a hashed maximum-entropy model of word classes, with counts of words within their class.
+"""LM scoring: a hashed maximum-entropy model of words, its softmax factored by class.
 
-P(word | context) = P(class | features of the context) * P(word | class). The first factor is a softmax over CLASSES
-classes on hashed n-gram and skip features, the second a count with 0.1 added, with one place a class for words not seen.
+Words stand at leaves: the OWN most frequent have one each, the others share the rest by the bytes they end in. Leaves are
+dealt into CLASSES classes of SLOTS leaves by what stands before them in the corpus. Then
+
+    P(word | context) = P(class | context) * P(leaf | class, context) * P(word | leaf).
+
+The first two factors are softmaxes over hashed n-gram and skip features of the context; for words with a leaf of their
+own the third is 1, for others it is a count's share with 0.1 added, and with one place a leaf for words not seen.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -19,199 +25,349 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import portions, written
 
-#: Classes; rows of the hashed weights; features of a context.
-CLASSES, ROWS, FEATURES = 32, 1 << 15, 4
+CLASSES, SLOTS = 32, 32
+LEAVES = CLASSES * SLOTS
+#: Leaves of one word.
+OWN = LEAVES // 2
+#: Bytes at a word's end that the leaf of a rarer word follows from.
+LOOK = 2
+#: Rows of the two hashed tables of weights: contexts, and contexts with the class that is given.
+ROWS = (1 << 14, 1 << 15)
 #: Words whose counts go to every task; the rest are joined.
-HEAD = 1 << 17
+HEAD = 1 << 18
 ADD = 0.1
-#: The step of the gradient, and how many uses count as evidence for weights of 0.
-RATE, SHRINK = 4.0, 4.0
-END = xxhash.xxh64_intdigest(b"\n", 42) - (1 << 64) * (xxhash.xxh64_intdigest(b"\n", 42) >> 63)  # no word holds a line end
-
-
-#: Bytes at a word's end that its class follows from.
-LOOK = 5
-
-
-def class_of(word: bytes) -> int:
-    """A word's class by the looks of its last LOOK bytes: bars, numbers, marks, and the last letters. The end's is 0."""
-    word = word[-LOOK:]
-    last = word[-1:]
-    if last == b"!":
-        return 3 + zlib.crc32(word.rstrip(b"!.,")[-2:]) % 3
-    if last in b"*%$&#":
-        return 6 + zlib.crc32(word.rstrip(b"*%$&#.,")[-2:]) % 4
-    if last in b".,;:?":
-        return 10 + zlib.crc32(word.rstrip(b".,;:?")[-2:]) % 6
-    if last == b"|":
-        return 1
-    if last.isdigit() or last in b"\"')]}":
-        return 2
-    return 16 + zlib.crc32(word[-2:]) % 16
-
-
-def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(index, ends, words): the texts' words as indexes into words, an end (index len(words)) after each text, and
-    where each text ends."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+#: Rounds of the gradient, each over its own part of the corpus; the step, and the count that holds rare weights back.
+ROUNDS, RATE, HOLD = 5, 0.4, 2.0
+#: Tokens a task of the gradient has at least, so that the sums it sends stay small against what it reads.
+TASK_TOKENS = 1_000_000
+#: Buckets of the words before by which leaves are told apart, rows of weights that travel together, tokens of a batch.
+BEFORE, BLOCK, STEP = 256, 16, 1 << 13
+_end = xxhash.xxh64_intdigest(b"\n", 42)  # no word holds a line end
+END = _end - (1 << 64) * (_end >> 63)
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def look_of(word: bytes) -> int:
+    """Which of the shared leaves a word would stand at, by its last LOOK bytes."""
+    return zlib.crc32(word[-LOOK:]) % (LEAVES - OWN)
+
+
+class _Looks(dict):
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = out = look_of(tail)
+        return out
+
+
+_looks = _Looks()  # 2 ** 16 entries at most
+
+
+def pieces(part: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.Array, bool]]:
+    """(texts, ended): the texts of a portion; a single text beyond limit bytes comes in pieces, cut where words are apart."""
+    texts = pc.fill_null(part.column(column), "")
+    if len(texts) > 1 or pc.binary_length(texts)[0].as_py() <= limit:
+        yield texts, True
+        return
+    raw, at = memoryview(texts[0].as_buffer()), 0
+    while at < len(raw):
+        gap = _BREAK.search(raw, at + limit)
+        stop = gap.end() if gap and at + limit < len(raw) else len(raw)
+        yield pa.array([bytes(raw[at:stop])], pa.binary()).cast(pa.string(), safe=False), stop == len(raw)
+        at = stop
+
+
+def words_in(texts: pa.Array, ended: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(index, stops, words): the texts' words as indexes into words, an end (index len(words)) after each text that is
+    ended, and where each text stops."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     offsets, flat = parts.offsets.to_numpy(), parts.flatten()
     keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     coded = flat.filter(pa.array(keep)).dictionary_encode()
     held = np.concatenate(([0], np.cumsum(keep)))
-    base = offsets[0]
-    stops = held[offsets[1:] - base]
-    ends = stops + np.arange(1, len(stops) + 1)
-    index = np.full(ends[-1] if len(ends) else 0, len(coded.dictionary), np.int64)
+    stops = held[offsets[1:] - offsets[0]]
+    words = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    if not ended:
+        return coded.indices.to_numpy(), stops, words
+    stops = stops + np.arange(1, len(stops) + 1)
+    index = np.full(stops[-1] if len(stops) else 0, len(words), np.int32)
     spot = np.ones(len(index), bool)
-    spot[ends - 1] = False
+    spot[stops - 1] = False
     index[spot] = coded.indices.to_numpy()
-    return index, ends, [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    return index, stops, words
 
 
-class _Classes(dict):
-    """Classes by the last bytes, kept; there are few of them."""
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word, then the end's."""
+    raw = b"".join([xxhash.xxh64_digest(w, 42) for w in words])
+    return np.append(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64), END)
 
-    def __missing__(self, look: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[look] = out = class_of(look)
-        return out
 
+def looks_of(words: list[bytes]) -> np.ndarray:
+    return np.array([*[_looks[w[-LOOK:]] for w in words], 0], np.int32)
 
-_kept = _Classes()
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in portions(batch, "text", 1 << 20):
+            for texts, ended in pieces(part, 0):
+                index, _, words = words_in(texts, ended)
+                n = np.bincount(index, minlength=len(words) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(words)), pa.array(looks_of(words)), pa.array(n)], ["h", "look", "n"])
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.array([*[xxhash.xxh64_intdigest(w, 42) for w in words]], np.uint64).view(np.int64)
 
+class Words:
+    """The counts that every task has: hashes in order, with their leaves and logarithms."""
 
-def classes_of(words: list[bytes]) -> np.ndarray:
-    return np.array([*[_kept[w[-LOOK:]] for w in words], 0], np.int64)
+    def __init__(self, h: np.ndarray, look: np.ndarray, n: np.ndarray) -> None:
+        """Given the most frequent first."""
+        leaf = np.where(np.arange(len(h)) < OWN, np.arange(len(h)), OWN + look)
+        order = np.argsort(h)
+        self.h, self.leaf, self.log = h[order], leaf[order].astype(np.int16), np.log10(n[order] + ADD)
 
+    def find(self, h: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, leaf, log10 of the count and 0.1) of hashes; leaves by looks and 0 for those not held."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), (OWN + look).astype(np.int16), np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        known = self.h[at] == h
+        return known, np.where(known, self.leaf[at], (OWN + look).astype(np.int16)), np.where(known, self.log[at], 0.0)
+
+
+ENCODED = "doc_id long, held_out boolean, round int, leaves array<short>, n_tokens long, n_head long, log_head double, tail array<long>"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """doc_id, held_out, round, text -> ENCODED: each text as leaves, its sums over words of the head, others' hashes."""
+    words_: Words = model.value
+
+    def lists(flat: np.ndarray, sizes: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in portions(batch, "text"):
-            index, _, words = words_in(part.column(0))
-            n = np.bincount(index, minlength=len(words) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes_of(words), END)), pa.array(classes_of(words).astype(np.int32)), pa.array(n)], ["h", "class", "n"])
-
-
-def features(word: np.ndarray, klass: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rows of the weights (tokens, FEATURES): the word before, the pair before, the word two before (a skip), and
-    the three classes before. Before a text stand starts."""
-    n = len(word)
-    place = np.arange(n) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
-
-    def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
-        out = np.full(n, none, x.dtype)
-        out[k:] = x[:-k] if k else x
-        out[place < k] = none
-        return out
+        for part in portions(batch, "text", 1 << 20):
+            leaves, tails, rows = [], [], np.zeros((part.num_rows, 4))  # tokens, those of the head, their logs, those of the tail
+            for texts, ended in pieces(part, 3):
+                index, stops, words = words_in(texts, ended)
+                hashes = hashes_of(words)
+                known, leaf, log = words_.find(hashes, looks_of(words))
+                sums = np.concatenate((np.zeros((1, 3)), np.cumsum(np.stack([np.ones(len(index)), known[index], log[index]], 1), axis=0)))
+                begins = np.concatenate(([0], stops[:-1])).astype(np.int64)
+                own = sums[stops] - sums[begins]
+                rows[:, :3] += own
+                rows[:, 3] += own[:, 0] - own[:, 1]
+                leaves.append(leaf[index])
+                tails.append(hashes[index][~known[index]])
+            counts = rows[:, [0, 1, 3]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], lists(np.concatenate(leaves), counts[:, 0].tolist()), pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.array(rows[:, 2]), lists(np.concatenate(tails), counts[:, 2].tolist())],
+                ["doc_id", "held_out", "round", "leaves", "n_tokens", "n_head", "log_head", "tail"],
+            )
 
-    w1, w2 = back(word, 1, 7).view(np.uint64), back(word, 2, 7).view(np.uint64)
-    c1, c2, c3 = (back(klass, k, CLASSES).astype(np.uint64) for k in (1, 2, 3))
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    raw = [w1 * odd, (w1 * odd + w2) * np.uint64(0xC2B2AE3D27D4EB4F), (w2 + np.uint64(1)) * np.uint64(0x165667B19E3779F9), (((c1 << np.uint64(12)) + (c2 << np.uint64(6)) + c3) + np.uint64(1 << 40)) * odd]
-    return np.stack([(x >> np.uint64(64 - 15)).astype(np.int32) for x in raw], axis=1)
 
+def before(leaves: np.ndarray, stops: np.ndarray, most: int = 3) -> list[np.ndarray]:
+    """The leaves one, two, ... most places before each token, LEAVES before a text's start."""
+    sizes = np.diff(stops, prepend=0)
+    place = np.arange(len(leaves)) - np.repeat(stops - sizes, sizes)
+    out = []
+    for k in range(1, most + 1):
+        x = np.full(len(leaves), LEAVES, np.int16)
+        x[k:] = leaves[:-k]
+        x[place < k] = LEAVES
+        out.append(x)
+    return out
+
+
+def _token_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, leaves, stops) of about limit tokens, one row at least."""
+    sizes = batch.column(column).value_lengths().to_numpy()
+    total, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        part = batch.slice(at, stop - at)
+        yield part, part.column(column).flatten().to_numpy(), np.cumsum(sizes[at:stop])
+        at = stop
+
+
+def _blocks(sums: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """sums (rows, values) as blocks of width rows that hold anything but 0."""
+    cut = sums.reshape(len(sums) // width, -1)
+    held = np.flatnonzero(cut.any(axis=1))
+    if len(held):
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([cut[i].astype(np.float32).tobytes() for i in held], pa.binary())], ["block", "sums"])
 
-def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of the classes, within what single precision can raise e to."""
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z += bias
-    return np.clip(z, -60, 60, out=z)
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            values = np.frombuffer(sums, np.float32).astype(np.float64)
+            held[block] = held[block] + values if block in held else values
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
+
+
+def summed_over(rows: DataFrame, sums, shape: tuple[int, int], width: int) -> np.ndarray:
+    """Sums over all rows of what sums (batches -> one array of the shape a task) gives: blocks are added where they meet."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _blocks(sums(batches), width)
 
-def log_chosen(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the softmax at the classes y."""
-    z = logits(weights, bias, rows)
-    own = z[np.arange(len(y)), y]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    t = rows.mapInArrow(own, "block int, sums binary").repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
+    out = np.zeros((shape[0] // width, shape[1] * width))
+    for block, raw in zip(t["block"].to_pylist(), t["sums"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(raw, np.float64)
+    return out.reshape(shape)
 
 
-def summed(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows: all runs by one row at a time while many are that long, then the few long ones each."""
-    out, k, live = values[begin], 1, np.flatnonzero(count > 1)
-    while len(live) >= 64:
-        out[live] += values[begin[live] + k]
-        k += 1
-        live = live[count[live] > k]
-    for i in live:
-        out[i] += values[begin[i] + k : begin[i] + count[i]].sum(axis=0)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """How often each leaf stands after each bucket of leaves."""
+    out = np.zeros((LEAVES, BEFORE))
+    for batch in batches:
+        for _, leaves, stops in _token_slices(batch, 0):
+            (w1,) = before(leaves, stops, 1)
+            np.add.at(out.ravel(), leaves.astype(np.int64) * BEFORE + w1 % BEFORE, 1.0)
     return out
 
 
-def _train(batches: Iterator[pa.RecordBatch], bias: np.ndarray, rate: float = RATE, step: int = 16384) -> Iterator[pa.RecordBatch]:
-    """Gradient steps over a task's share of the text; gives its weights, and how often each row was used.
+def classes_of(pairs: np.ndarray) -> np.ndarray:
+    """A class for each leaf: leaves are halved by the first principal direction of what stands before them, again and again."""
+    total, each = pairs.sum(axis=1), (pairs.sum(axis=0) + 1e-9) / (pairs.sum() + 1e-9 * BEFORE)
+    z = np.sqrt((pairs + 2 * each) / (total[:, None] + 2)) - np.sqrt(each)
+    weight = np.sqrt(total + 1)
+    out = np.zeros(LEAVES, np.int64)
+
+    def halve(own: np.ndarray, first: int, parts: int) -> None:
+        if parts == 1:
+            out[own] = first
+            return
+        apart = z[own] - np.average(z[own], axis=0, weights=weight[own])
+        way = np.linalg.svd(apart * np.sqrt(weight[own])[:, None], full_matrices=False)[2][0]
+        way = way * np.sign(way[np.abs(way).argmax()] or 1.0)
+        own = own[np.lexsort((own, np.round(apart @ way, 9)))]
+        for k, half in enumerate((own[: len(own) // 2], own[len(own) // 2 :])):
+            halve(half, first + k * parts // 2, parts // 2)
+
+    halve(np.arange(LEAVES), 0, CLASSES)
+    return out
+
 
-    bias holds the classes' log shares, so that weights are what contexts change of them.
+def _hash(bits: int, *xs: np.ndarray) -> np.ndarray:
+    """Rows of a table of 2 ** bits rows."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    for x in xs:
+        h = (h ^ np.asarray(x).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = h ^ (h >> np.uint64(31))
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint16)
+
+
+class Tree:
+    """Where each leaf stands, and the rows of weights that a context has.
+
+    Features of a context, for the class: the word before, the two before, the one before that (a skip), the classes of
+    the three before. For the leaf, each with the class that is given: the word before, the skip, the two classes before.
     """
-    weights, used = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.int64)
+
+    def __init__(self, classes: np.ndarray, n: np.ndarray) -> None:
+        """n: how often each leaf occurs."""
+        self.klass = classes
+        order = np.argsort(classes, kind="stable")
+        self.slot = np.empty(LEAVES, np.int64)
+        self.slot[order] = np.arange(LEAVES) % SLOTS
+        of_class = np.bincount(classes, weights=n, minlength=CLASSES)
+        share = np.zeros((CLASSES, SLOTS))
+        share[classes, self.slot] = (n + 0.5) / (of_class[classes] + 0.5 * SLOTS)
+        self.bias = np.log((of_class + 1) / (n.sum() + CLASSES)).astype(np.float32), np.log(share).astype(np.float32)
+        one, two = (int(r).bit_length() - 1 for r in ROWS)
+        w, c, y = np.arange(LEAVES + 1), np.arange(CLASSES + 1), np.arange(CLASSES)
+        self.above = np.append(classes, CLASSES).astype(np.int32)
+        self.word, self.skip = _hash(one, 1 + 0 * w, w), _hash(one, 3 + 0 * w, w)
+        self.classes3 = _hash(one, 4 + 0 * c[:, None, None], c[:, None, None], c[None, :, None], c[None, None, :]).ravel()
+        self.word_in, self.skip_in = (_hash(two, k + 0 * w[:, None], w[:, None], y[None, :]).ravel() for k in (5, 7))
+        self.classes2_in = _hash(two, 6 + 0 * c[:, None, None], c[:, None, None], c[None, :, None], y[None, None, :]).ravel()
+        self.one = one
+
+    def rows(self, leaves: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, slot, rows for the class, rows for the leaf) of tokens."""
+        c1, c2, c3 = self.above[w1], self.above[w2], self.above[w3]
+        y, n = self.klass[leaves], CLASSES + 1
+        first = np.stack([self.word[w1], _hash(self.one, 2 + 0 * w1, w1, w2), self.skip[w2], self.classes3[(c1 * n + c2) * n + c3]], axis=1)
+        second = np.stack([self.word_in[w1 * np.int64(CLASSES) + y], self.skip_in[w2 * np.int64(CLASSES) + y], self.classes2_in[(c1 * n + c2) * CLASSES + y]], axis=1)
+        return y, self.slot[leaves], first, second
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities (tokens, choices): bias plus the weights of each token's rows."""
+    z = np.take(weights, rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        z += np.take(weights, rows[:, k], axis=0)
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _slopes(batches: Iterator[pa.RecordBatch], model) -> np.ndarray:
+    """For each weight how often its choice was seen less how often it was expected, and how often it was seen: a table of
+    all rows of weights, slopes before counts."""
+    tree, tables = model.value
+    width = CLASSES  # as many as SLOTS
+    slope, seen = np.zeros((sum(ROWS), width)), np.zeros((sum(ROWS), width))
     for batch in batches:
-        for part in portions(batch, "text"):
-            index, ends, words = words_in(part.column(0))
-            klass = classes_of(words)[index]
-            rows = features(np.append(hashes_of(words), END)[index], klass, ends)
-            for at in range(0, len(rows), step):
-                r, y = rows[at : at + step], klass[at : at + step]
-                slope = logits(weights, bias, r)
-                np.exp(slope, out=slope)
-                slope /= slope.sum(axis=1, keepdims=True)
-                slope[np.arange(len(y)), y] -= 1
-                flat = r.ravel().astype(np.uint16)  # short integers are sorted by their digits
-                order = np.argsort(flat, kind="stable")
-                row, begin, count = np.unique(flat[order], return_index=True, return_counts=True)
-                total = summed(slope[order // FEATURES], begin, count)
-                used[row] += count
-                # The step of a row shrinks as it is used: a mean slope, at most a bounded move.
-                weights[row] -= (rate * count**0.5 / used[row] ** 0.5 / count).astype(np.float32)[:, None] * total
-    seen = np.flatnonzero(used)
-    if len(seen):
-        values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(seen) * CLASSES + 1, CLASSES, dtype=np.int32)), pa.array(weights[seen].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(used[seen]), values], ["row", "used", "w"])
-
-
-def train_weights(texts: DataFrame, bias: np.ndarray) -> np.ndarray:
-    """One pass of distributed gradient steps over all texts: each task descends over its own share, and a row's weights
-    are averaged by use; rarely used rows shrink. The result has a fixed size (ROWS * CLASSES floats)."""
-    own = texts.mapInArrow(partial(_train, bias=bias), "row long, used long, w array<float>")
-    mean = [(F.sum(F.get("w", F.lit(i)) * F.col("used")) / (F.sum("used") + F.lit(SHRINK))).cast("float").alias(f"w{i}") for i in range(CLASSES)]
-    t = own.groupBy("row").agg(*mean).toArrow()
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    if t.num_rows:
-        weights[t["row"].to_numpy()] = np.stack([t[f"w{i}"].to_numpy() for i in range(CLASSES)], axis=1)
-    return weights
-
-
-def _score(batches: Iterator[pa.RecordBatch], model, size: int = 16384) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its tokens, the sums over words that it knows the counts of, and the hashes of others."""
-    weights, bias, below, known, logs = model.value
+        for _, leaves, stops in _token_slices(batch, 0):
+            context = before(leaves, stops)
+            for at in range(0, len(leaves), STEP):
+                y, s, *rows = tree.rows(leaves[at : at + STEP], *(x[at : at + STEP] for x in context))
+                for k, (row, choice, bias) in enumerate(((rows[0], y, tree.bias[0]), (rows[1], s, tree.bias[1][y]))):
+                    p = softmax(tables[k], bias, row)
+                    np.negative(p, out=p)
+                    p[np.arange(len(p)), choice] += 1
+                    flat, base = row.ravel(), k * ROWS[0]
+                    order = np.argsort(flat, kind="stable")  # short integers are sorted by their digits
+                    own, begin = np.unique(flat[order], return_index=True)
+                    slope[own.astype(np.int64) + base] += np.add.reduceat(np.take(p, order // row.shape[1], axis=0), begin, axis=0)
+                    np.add.at(seen.ravel(), ((row.astype(np.int64) + base) * width + choice[:, None]).ravel(), 1.0)
+    return np.concatenate((slope, seen), axis=1)
+
+
+def train(encoded: DataFrame, tree: Tree, tokens: int) -> list[np.ndarray]:
+    """The two tables of weights: ROUNDS gradient steps, each from sums over its own part of the training texts.
+
+    A text's part follows from a hash of it, and sums don't depend on how rows are dealt, so neither do the weights. Each
+    step is the slope over the expected count: a seen share above the expected one raises a weight, RATE for one twice it.
+    """
+    tables = [np.zeros((r, CLASSES), np.float32) for r in ROWS]
+    tasks = max(1, tokens // ROUNDS // TASK_TOKENS)
+    for k in range(ROUNDS):
+        held = encoded.sparkSession.sparkContext.broadcast((tree, tables))
+        own = encoded.filter(F.col("round") == k).select("leaves").coalesce(tasks)
+        slope, seen = np.hsplit(summed_over(own, partial(_slopes, model=held), (sum(ROWS), 2 * CLASSES), BLOCK), 2)
+        step = (RATE * np.clip(slope / np.maximum(seen - slope + HOLD, 1e-6), -1, 2)).astype(np.float32)
+        tables = [tables[0] + step[: ROWS[0]], tables[1] + step[ROWS[0] :]]
+        held.unpersist()
+    return tables
+
+
+def log_probabilities(tree: Tree, tables: list[np.ndarray], leaves: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """log10 of P(leaf | context) of each token, in sparse batches."""
+    context, out = before(leaves, stops), np.zeros(len(leaves), np.float32)
+    for at in range(0, len(leaves), STEP):
+        y, s, first, second = tree.rows(leaves[at : at + STEP], *(x[at : at + STEP] for x in context))
+        i = np.arange(len(y))
+        out[at : at + STEP] = np.log10(softmax(tables[0], tree.bias[0], first)[i, y]) + np.log10(softmax(tables[1], tree.bias[1][y], second)[i, s])
+    return out
+
+
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(..., leaves) -> (..., inner): sums over a text of the logarithms of all factors but the counts within leaves."""
+    tree, tables, below = model.value
     for batch in batches:
-        for part in portions(batch, "text"):
-            index, ends, words = words_in(part.column(2))
-            begins = ends - np.diff(ends, prepend=0)
-            hashes, klass = np.append(hashes_of(words), END), classes_of(words)
-            spot = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-            head = known[spot] == hashes if len(known) else np.zeros(len(hashes), bool)
-            log = np.where(head, logs[spot] if len(known) else 0.0, 0.0)
-            k = klass[index]
-            rows = features(hashes[index], k, ends)
-            p = np.concatenate([log_chosen(weights, bias, rows[at : at + size], k[at : at + size]) for at in range(0, len(rows), size)])
-            inner = p.astype(np.float64) / np.log(10) - below[k]
-            in_head = head[index]
-            tail = hashes[index][~in_head]
-            cuts = np.concatenate(([0], np.cumsum(~in_head)))
-            offsets = np.append(cuts[begins], len(tail)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(ends - begins), pa.array(np.add.reduceat(in_head.astype(np.int64), begins)), pa.array(np.add.reduceat(log[index], begins)), pa.array(np.add.reduceat(inner, begins)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tail))],
-                ["doc_id", "held_out", "n_tokens", "n_head", "log_head", "inner", "tail"],
-            )
+        for part, leaves, stops in _token_slices(batch, batch.num_columns - 1):
+            p = log_probabilities(tree, tables, leaves, stops).astype(np.float64) - below[leaves]
+            inner = np.add.reduceat(p, stops - np.diff(stops, prepend=0))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(inner)], [*part.schema.names[:-1], "inner"])
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, log_head double, inner double, tail array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, log_head double, inner double"
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -222,27 +378,41 @@ def held_out(doc_id: F.Column) -> F.Column:
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
+    docs needs doc_id and text; other columns, whatever their names, are not read. A null or empty text is its end alone; a
+    very long one is read in pieces. Repeated rows are scored alike, and each counts in training. Words of equal counts have
+    their order from their hash. Without any training row leaves are alike and each holds just its place for words not seen.
+    An empty table gives an empty one.
+
     Counts come from all training rows, by a partial aggregate; words are known by their 64-bit hash. The HEAD most
-    frequent go to every task, the others' occurrences are joined with the counts. A null or empty text is its end
-    alone; repeated rows are scored alike. Without any training row each text has the probability that 0.1 gives.
+    frequent go to every task, the others' occurrences are joined with the counts.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    train = rows.filter("not held_out").select("text")
-    counts = written(train.mapInArrow(_word_counts, "h long, class int, n long").filter("n > 0").groupBy("h", "class").agg(F.sum("n").alias("n")), "words")
-    of_class = {r["class"]: (r.n, r.v) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    total, kinds = (sum(x[i] for x in of_class.values()) for i in (0, 1))
-    below = np.array([np.log10(of_class.get(k, (0, 0))[0] + ADD * (of_class.get(k, (0, 0))[1] + 1)) for k in range(CLASSES)])
-    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "n").toArrow()
-    order = np.argsort(top["h"].to_numpy())
-    known, logs = top["h"].to_numpy()[order], np.log10(top["n"].to_numpy()[order] + ADD)
-    bias = np.log([(of_class.get(k, (0, 0))[0] + 1) / (total + CLASSES) for k in range(CLASSES)]).astype(np.float32)
-    model = docs.sparkSession.sparkContext.broadcast((train_weights(train, bias), bias, below, known, logs))
-    own = written(rows.mapInArrow(partial(_score, model=model), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = own.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("t"))
+    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(ROUNDS)).cast("int").alias("round"), "text")
+    counts = rows.filter("not held_out").select("text").mapInArrow(_word_counts, "h long, look int, n long").filter("n > 0")
+    counts = written(counts.groupBy("h", "look").agg(F.sum("n").alias("n")), "words")
+    of_look = counts.groupBy("look").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    total, kinds = sum(r.n for r in of_look), sum(r.v for r in of_look)
+    top = counts.orderBy(F.desc("n"), "h", "look").limit(HEAD).toArrow()
+    h, look, often = (top[c].to_numpy() for c in ("h", "look", "n"))
+    n, v = np.zeros(LEAVES), np.zeros(LEAVES)
+    for r in of_look:
+        n[OWN + r["look"]], v[OWN + r["look"]] = r.n, r.v
+    m = min(OWN, len(h))
+    np.subtract.at(n, OWN + look[:m], often[:m])
+    np.subtract.at(v, OWN + look[:m], 1)
+    n[:m] = often[:m]
+    below = np.log10(np.where(np.arange(LEAVES) < OWN, n + ADD, n + ADD * (v + 1)))
+    own = rows.mapInArrow(partial(_encode, model=spark.sparkContext.broadcast(Words(h, look, often))), ENCODED).withColumn("row", F.monotonically_increasing_id())
+    encoded = written(own, "leaves", by=["round"])
+    learned = encoded.filter("not held_out").select("round", "leaves")
+    tree = Tree(classes_of(summed_over(learned.select("leaves"), _pairs, (LEAVES, BEFORE), BLOCK)), n)
+    model = spark.sparkContext.broadcast((tree, train(learned, tree, total), below))
+    inner = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_head", "log_head", "leaves").mapInArrow(partial(_score, model=model), SCORED)
+    tail = encoded.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("t"))
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
     rest = tail.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("t") * log).alias("log_tail"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("n_tail"))
-    both = own.drop("tail").join(rest, "row", "left").withColumn("logs", F.col("log_head") + F.coalesce("log_tail", F.lit(0.0)))
+    both = inner.join(rest, "row", "left").withColumn("logs", F.col("log_head") + F.coalesce("log_tail", F.lit(0.0)))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + ADD * (kinds + 1))))).alias("base_score"), (F.col("logs") + F.col("inner")).alias("score"),

@@ -290,14 +290,54 @@ def test_lm(docs, plain):
 
 
 def test_lm_is_a_distribution():
-    """Over all classes, and within one over its words and the place for others, the probabilities sum to 1."""
-    w = np.random.default_rng(0).standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32)
-    rows = lm.features(np.arange(40, dtype=np.int64), np.arange(40, dtype=np.int64) % lm.CLASSES, np.array([40]))
-    bias = np.zeros(lm.CLASSES, np.float32)
-    each = [np.exp(lm.log_chosen(w, bias, rows, np.full(40, c))) for c in range(lm.CLASSES)]
-    assert np.allclose(sum(each), 1, atol=1e-5)
-    n = np.array([5, 1, 1])
-    assert sum(n + 0.1) + 0.1 == pytest.approx(n.sum() + 0.1 * (len(n) + 1))
+    """Over all classes, and within one over its leaves, the probabilities sum to 1; each leaf has a place of its own."""
+    draw = np.random.default_rng(0)
+    classes = lm.classes_of(draw.integers(0, 9, (lm.LEAVES, lm.BEFORE)).astype(float))
+    assert (np.bincount(classes) == lm.SLOTS).all()
+    tree = lm.Tree(classes, draw.integers(0, 50, lm.LEAVES).astype(float))
+    assert len({*zip(tree.klass.tolist(), tree.slot.tolist(), strict=True)}) == lm.LEAVES
+    tables = [draw.standard_normal((r, lm.CLASSES)).astype(np.float32) for r in lm.ROWS]
+    past = np.array([5, 900, 17], np.int16)
+    each = [lm.log_probabilities(tree, tables, np.append(past, np.int16(x)), np.array([4]))[-1] for x in range(lm.LEAVES)]
+    assert (10.0 ** np.array(each)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def lm_rows():
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"{'abcdefgh'[(x + k) % 8]}{x}{'xyz'[k % 3]}" for x in np.minimum(draw.zipf(1.3, 30), 400)) for k in range(40)]
+    return [(i, t) for i, t in enumerate([None, "", "One  two", "é à \U0001f600 !!", *texts, texts[0]])]
+
+
+def test_lm_score_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 600)
+    rows = lm_rows()
+    want = brute.lm_scores(rows)
+    for parts in (1, 6):
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r.doc_id: r.score for r in lm.score(docs.repartition(n)).collect()} for n in (1, 19))
+    assert one == pytest.approx(many, rel=1e-5)
+
+
+def test_lm_gains_on_held_out_text(spark):
+    """Well over the quarter of a power of ten a token that a model without context in the class reached."""
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) as gain").first().gain
+    assert got > 0.38
+
+
+def test_a_long_text_goes_by_pieces():
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array(["ab é  c\n" * 700 + "end"])], ["text"])
+    texts = list(lm.pieces(part, 0, 100))
+    assert len(texts) > 20 and "".join(t[0].as_py() for t, _ in texts) == part.column(0)[0].as_py()
+    assert [e for _, e in texts] == [False] * (len(texts) - 1) + [True]
+    words = [w for t, e in texts for w in (lambda i, _, ws: [[*ws, b"end of text"][k] for k in i])(*lm.words_in(t, e))]
+    assert words == [*(part.column(0)[0].as_py().encode().split()), b"end of text"]
 
 
 def test_lm_tail_is_joined(docs, plain, monkeypatch):
