@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import portions, written
+from tessera.llm.common import partitions, portions, written
 
 CLASSES, SLOTS = 32, 32
 LEAVES = CLASSES * SLOTS
@@ -41,7 +41,9 @@ ROUNDS, RATE, HOLD = 5, 0.4, 2.0
 #: Tokens a task of the gradient has at least, so that the sums it sends stay small against what it reads.
 TASK_TOKENS = 1_000_000
 #: Buckets of the words before by which leaves are told apart, rows of weights that travel together, tokens of a batch.
-BEFORE, BLOCK, STEP = 256, 16, 1 << 13
+BEFORE, BLOCK, STEP = 256, 16, 1 << 14
+#: Bytes of text that a task holds as words at a time, about.
+PART = 1 << 22
 _end = xxhash.xxh64_intdigest(b"\n", 42)  # no word holds a line end
 END = _end - (1 << 64) * (_end >> 63)
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
@@ -61,7 +63,7 @@ class _Looks(dict):
 _looks = _Looks()  # 2 ** 16 entries at most
 
 
-def pieces(part: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.Array, bool]]:
+def pieces(part: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[tuple[pa.Array, bool]]:
     """(texts, ended): the texts of a portion; a single text beyond limit bytes comes in pieces, cut where words are apart."""
     texts = pc.fill_null(part.column(column), "")
     if len(texts) > 1 or pc.binary_length(texts)[0].as_py() <= limit:
@@ -84,7 +86,7 @@ def words_in(texts: pa.Array, ended: bool = True) -> tuple[np.ndarray, np.ndarra
     coded = flat.filter(pa.array(keep)).dictionary_encode()
     held = np.concatenate(([0], np.cumsum(keep)))
     stops = held[offsets[1:] - offsets[0]]
-    words = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
     if not ended:
         return coded.indices.to_numpy(), stops, words
     stops = stops + np.arange(1, len(stops) + 1)
@@ -107,7 +109,7 @@ def looks_of(words: list[bytes]) -> np.ndarray:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in portions(batch, "text", 1 << 20):
+        for part in portions(batch, "text", PART):
             for texts, ended in pieces(part, 0):
                 index, _, words = words_in(texts, ended)
                 n = np.bincount(index, minlength=len(words) + 1)
@@ -143,7 +145,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
 
     for batch in batches:
-        for part in portions(batch, "text", 1 << 20):
+        for part in portions(batch, "text", PART):
             leaves, tails, rows = [], [], np.zeros((part.num_rows, 4))  # tokens, those of the head, their logs, those of the tail
             for texts, ended in pieces(part, 3):
                 index, stops, words = words_in(texts, ended)
@@ -211,7 +213,7 @@ def summed_over(rows: DataFrame, sums, shape: tuple[int, int], width: int) -> np
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _blocks(sums(batches), width)
 
-    t = rows.mapInArrow(own, "block int, sums binary").repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
+    t = rows.mapInArrow(own, "block int, sums binary").repartition(partitions(rows.sparkSession), "block").mapInArrow(_added, "block int, sums binary").toArrow()
     out = np.zeros((shape[0] // width, shape[1] * width))
     for block, raw in zip(t["block"].to_pylist(), t["sums"].to_pylist(), strict=True):
         out[block] = np.frombuffer(raw, np.float64)
@@ -263,7 +265,7 @@ class Tree:
     """Where each leaf stands, and the rows of weights that a context has.
 
     Features of a context, for the class: the word before, the two before, the one before that (a skip), the classes of
-    the three before. For the leaf, each with the class that is given: the word before, the skip, the two classes before.
+    the three before. For the leaf, each with the class that is given: the word before and the skip.
     """
 
     def __init__(self, classes: np.ndarray, n: np.ndarray) -> None:
@@ -282,7 +284,6 @@ class Tree:
         self.word, self.skip = _hash(one, 1 + 0 * w, w), _hash(one, 3 + 0 * w, w)
         self.classes3 = _hash(one, 4 + 0 * c[:, None, None], c[:, None, None], c[None, :, None], c[None, None, :]).ravel()
         self.word_in, self.skip_in = (_hash(two, k + 0 * w[:, None], w[:, None], y[None, :]).ravel() for k in (5, 7))
-        self.classes2_in = _hash(two, 6 + 0 * c[:, None, None], c[:, None, None], c[None, :, None], y[None, None, :]).ravel()
         self.one = one
 
     def rows(self, leaves: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -290,20 +291,35 @@ class Tree:
         c1, c2, c3 = self.above[w1], self.above[w2], self.above[w3]
         y, n = self.klass[leaves], CLASSES + 1
         first = np.stack([self.word[w1], _hash(self.one, 2 + 0 * w1, w1, w2), self.skip[w2], self.classes3[(c1 * n + c2) * n + c3]], axis=1)
-        second = np.stack([self.word_in[w1 * np.int64(CLASSES) + y], self.skip_in[w2 * np.int64(CLASSES) + y], self.classes2_in[(c1 * n + c2) * CLASSES + y]], axis=1)
+        second = np.stack([self.word_in[w1 * np.int64(CLASSES) + y], self.skip_in[w2 * np.int64(CLASSES) + y]], axis=1)
         return y, self.slot[leaves], first, second
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Probabilities (tokens, choices): bias plus the weights of each token's rows."""
+_ones = np.ones(CLASSES, np.float32)
+
+
+def powers(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """e to bias plus the weights of each token's rows (tokens, choices). Steps are bounded, so none is beyond a float."""
     z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return np.exp(z, out=z)
+
+
+def runs_summed(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: long runs each by a product with ones, all short ones together, a row at a time."""
+    count = np.diff(np.append(begin, len(values)))
+    out = values[begin]
+    ones = np.ones(count.max(initial=0), np.float32)
+    for i in np.flatnonzero(count > 16):
+        out[i] = ones[: count[i]] @ values[begin[i] : begin[i] + count[i]]
+    k, live = 1, np.flatnonzero((count > 1) & (count <= 16))
+    while len(live):
+        out[live] += values[begin[live] + k]
+        k += 1
+        live = live[count[live] > k]
+    return out
 
 
 def _slopes(batches: Iterator[pa.RecordBatch], model) -> np.ndarray:
@@ -318,13 +334,15 @@ def _slopes(batches: Iterator[pa.RecordBatch], model) -> np.ndarray:
             for at in range(0, len(leaves), STEP):
                 y, s, *rows = tree.rows(leaves[at : at + STEP], *(x[at : at + STEP] for x in context))
                 for k, (row, choice, bias) in enumerate(((rows[0], y, tree.bias[0]), (rows[1], s, tree.bias[1][y]))):
-                    p = softmax(tables[k], bias, row)
-                    np.negative(p, out=p)
+                    p = powers(tables[k], bias, row)
+                    p *= (-1 / (p @ _ones))[:, None]
                     p[np.arange(len(p)), choice] += 1
                     flat, base = row.ravel(), k * ROWS[0]
                     order = np.argsort(flat, kind="stable")  # short integers are sorted by their digits
-                    own, begin = np.unique(flat[order], return_index=True)
-                    slope[own.astype(np.int64) + base] += np.add.reduceat(np.take(p, order // row.shape[1], axis=0), begin, axis=0)
+                    ordered = flat[order]
+                    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                    own = ordered[begin]
+                    slope[own.astype(np.int64) + base] += runs_summed(np.take(p, order // row.shape[1], axis=0), begin)
                     np.add.at(seen.ravel(), ((row.astype(np.int64) + base) * width + choice[:, None]).ravel(), 1.0)
     return np.concatenate((slope, seen), axis=1)
 
@@ -352,8 +370,8 @@ def log_probabilities(tree: Tree, tables: list[np.ndarray], leaves: np.ndarray,
     context, out = before(leaves, stops), np.zeros(len(leaves), np.float32)
     for at in range(0, len(leaves), STEP):
         y, s, first, second = tree.rows(leaves[at : at + STEP], *(x[at : at + STEP] for x in context))
-        i = np.arange(len(y))
-        out[at : at + STEP] = np.log10(softmax(tables[0], tree.bias[0], first)[i, y]) + np.log10(softmax(tables[1], tree.bias[1][y], second)[i, s])
+        i, a, b = np.arange(len(y)), powers(tables[0], tree.bias[0], first), powers(tables[1], tree.bias[1][y], second)
+        out[at : at + STEP] = np.log10(a[i, y] / (a @ _ones)) + np.log10(b[i, s] / (b @ _ones))
     return out
 
 

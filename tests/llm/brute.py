@@ -129,7 +129,7 @@ def lm_scores(docs):
         w1, w2, w3 = (xs[t - k] if t >= k else lm.LEAVES for k in (1, 2, 3))
         c1, c2, c3 = (klass[w] if w < lm.LEAVES else lm.CLASSES for w in (w1, w2, w3))
         y = klass[xs[t]]
-        return [row(one, 1, w1), row(one, 2, w1, w2), row(one, 3, w2), row(one, 4, c1, c2, c3)], [row(two, 5, w1, y), row(two, 7, w2, y), row(two, 6, c1, c2, y)]
+        return [row(one, 1, w1), row(one, 2, w1, w2), row(one, 3, w2), row(one, 4, c1, c2, c3)], [row(two, 5, w1, y), row(two, 7, w2, y)]
 
     def soft(z):
         e = np.exp(z - z.max())
