@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tessera import book_queries  # noqa: F401
 from tessera.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
