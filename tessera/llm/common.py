@@ -11,40 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a local session takes a folder of its own
-    (one machine holds all executors there); a cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back. Lost executors lose nothing.
 
-    by: columns whose values have folders of their own. The tables of a result must outlive it, so they go by cleared().
+    by: columns whose values have folders of their own. Tables stay until cleared() of tessera.sources.shared, as results are read from them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleared(spark: SparkSession) -> None:
-    """Removes all tables that this application has written. Call it once its results are stored elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,6 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keeps_columns(*core: str) -> Callable:
+    """For functions of docs that return rows of docs: within, all columns but the core ones have names of their own
+    (x0, x1, ...), so that no caller's column, whatever its name, meets one that the function makes."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def use(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            inner = [c if c in core else f"x{i}" for i, c in enumerate(docs.columns)]
+            return f(docs.toDF(*inner), *args, **kwargs).select(*inner).toDF(*docs.columns)
+
+        return use
+
+    return wrap
+
+
 def whole(text: Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

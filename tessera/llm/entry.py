@@ -89,7 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 NEAREST = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-  f AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  g AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  f AS (SELECT vec_id, min(v) AS v FROM g WHERE len(v) = (SELECT len(v) FROM g GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1) GROUP BY vec_id),
   p AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), lambda x, y: x + y)) AS score
         FROM f a JOIN f b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
   SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10"""

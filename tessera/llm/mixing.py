@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GAP, whole, written
+from tessera.llm.common import GAP, keeps_columns, whole, written
 
 #: A source's words are taken this often at most.
 MOST = 3.0
@@ -113,7 +113,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     the rest is an inclusion probability. Probabilities fly in chunks of a source (a hot source has many), balanced
     on words and on documents; the two at most that each chunk leaves open fly again together, chunk by chunk, until
     a source's rest fits one chunk, which flies and lands. Random numbers follow from seed and the rows, so reruns agree.
-    A null text has size 0, a null source is a source, repeated rows count each. Empty tables give empty ones.
+    A null text has size 0, a null source is a source, repeated rows count each, a very long text is one document with its
+    whole size. docs needs doc_id, source and text; other columns, whatever their names, are not read. Of two choices as
+    near to a source's target the one nearer in documents is taken. Empty tables give empty ones.
     """
     rows = written(sized(docs), "sized")
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -145,10 +147,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = M
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "k")
 
 
+@keeps_columns("doc_id", "source", "text")
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it. Equal rows (same doc_id, source and text) are interchangeable."""
+    """The rows of docs, each as often as mix() takes it. Equal rows (same doc_id, source and text) are interchangeable.
+
+    All columns keep their names and values. Nulls, repeated rows, very long texts and empty tables: see mix.
+    """
     by_key = mix(docs, weights, most, seed).groupBy("k").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
     by_key = by_key.filter("copies_ > 0").withColumnRenamed("k", "key_")
     both = docs.withColumn("key_", key()).join(by_key, "key_")
     once = both.filter("rows_ = 1").unionByName(both.filter("rows_ > 1").dropDuplicates(["key_"]))
-    return once.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*docs.columns)
+    return once.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, scan, whole
+from tessera.llm.common import keeps_columns, let, scan, whole
 
 # The patterns of known kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,7 +171,8 @@ def found_spans(docs: DataFrame, q: float = 0.01) -> DataFrame:
 
     A token is a secret if it has a key's encoding and the battery doesn't reject that it is random (see thresholds).
     One inside a known kind's span adds nothing. Nulls are empty texts; no match gives empty arrays; repeated rows have
-    equal spans. Names of further columns are free but for those with a trailing underscore.
+    equal spans, very long texts are scanned whole, and an empty table gives an empty one. Names of further columns are free
+    but for those with a trailing underscore.
     """
     rows = scanned(docs)
     cuts = thresholds(scanned(docs.select("text")).select(F.explode("tokens_").alias("t")).select("t.cell", "t.step"), q)
@@ -192,10 +193,12 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@keeps_columns("text", "n_chars")
 def redacted(docs: DataFrame, q: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mark (spans that overlap by one) and n_chars brought up to date.
 
-    Rows without a find are as they were, nulls included. No row is dropped.
+    Rows without a find are as they were, nulls included. No row is dropped; repeated rows stay repeated, all columns keep
+    their names and values but for text and n_chars. Very long texts are scanned whole. An empty table gives an empty one.
     """
     rows = found_spans(docs, q)
 
@@ -211,4 +214,4 @@ def redacted(docs: DataFrame, q: float = 0.01, mark: str = "[SECRET]") -> DataFr
     out = rows.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans_") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out

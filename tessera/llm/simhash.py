@@ -211,11 +211,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     lows = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = placed.join(lows, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs that are the first of their component, one row each; rows without a doc_id take no part and stay."""
-    near = near_duplicates(docs.filter("doc_id is not null"), shingle, budget)
-    first = near.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

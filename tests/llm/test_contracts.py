@@ -72,17 +72,6 @@ def test_trie_is_exact_and_splits_heavy_tasks(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
-def test_keep_first_keeps_one_of_each(docs, plain):
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).filter("doc_id is not null").collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(set(near.values()) - {None})
-    assert ids.count(None) == 1
-    twice = simhash.keep_first(docs.unionByName(docs)).filter("doc_id is not null")
-    assert twice.count() == len(ids) - 1
-
-
 def grams_of(text):
     words = brute.WORD.findall(brute.lower(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
@@ -347,28 +336,53 @@ def test_lm_tail_is_joined(docs, plain, monkeypatch):
         assert r.n_known == want[r.doc_id][2] and r.base_score == pytest.approx(want[r.doc_id][4])
 
 
+def brute_nearest(rows):
+    """rows (id, vector), one of each id -> (query_id, rank, vec_id, score)."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    want = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        best = [j for j in np.lexsort((ids, d)) if j != i][:10]
+        want += [(ids[i], k + 1, ids[j], d[j]) for k, j in enumerate(best)]
+    return sorted(want)
+
+
+def same_neighbours(got, want):
+    got = sorted(map(tuple, got))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=0, atol=1e-12)
+
+
 def test_nearest(spark, sf):
     own = spark.read.parquet(f"{sf}/embeddings.parquet")
     odd = spark.createDataFrame([(9000, None), (9001, [0.0] * 64), (9002, [float("nan")] + [1.0] * 63), (9003, [None] + [1.0] * 63), (9100, [0.1] * 64), (9101, [0.1] * 64), (9102, [0.1] * 64), (None, [0.1] * 64)], "vec_id long, embedding array<float>")
     rows = own.select("vec_id", "embedding").unionByName(odd).selectExpr("*", "1 as block", "2 as curve", "3 as v")
-    for block in (64, 2048):
-        got = ann.search(rows, block=block).toPandas()
-        pdf = ann.valid(rows).toPandas()
-        ids, v = pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy())
-        want = []
-        for i in np.flatnonzero(ids % 100 == 0):
-            d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
-            best = [j for j in np.lexsort((ids, d)) if j != i][:10]
-            want += [(ids[i], k + 1, ids[j], d[j]) for k, j in enumerate(best)]
-        want = pd.DataFrame(want, columns=["query_id", "rank", "vec_id", "score"]).sort_values(["query_id", "rank"])
-        got = got.sort_values(["query_id", "rank"])
-        assert (got["query_id"].to_numpy() == want["query_id"].to_numpy()).all() and (got["vec_id"].to_numpy() == want["vec_id"].to_numpy()).all()
-        assert np.allclose(got["score"], want["score"], rtol=0, atol=1e-12)
+    want = brute_nearest([(r.vec_id, r.v) for r in ann.valid(rows).collect()])
+    for kind in ({"block": 16}, {"block": 64, "asks": 1}, {}):
+        same_neighbours(ann.search(rows, **kind).collect(), want)
+    same_neighbours(ann.search(rows.unionByName(rows).unionByName(rows)).collect(), want)  # copies take no one's place
     assert ann.search(rows.limit(0)).count() == 0
     few = ann.search(rows.filter("vec_id in (9100, 9101)")).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(9100, 1, 9101, 0.0)]
 
 
+def test_nearest_of_awkward_vectors(spark):
+    """Lengths that differ, an id with two vectors, and components whose squares no double holds."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.standard_normal(8).tolist()) for i in range(150)]
+    far = [(200, [1e200] * 8), (201, [-1e200] * 8), (202, [1e200] * 7 + [3e200])]
+    short = [(300, [1.0] * 7), (301, [1.0] * 9), (302, [])]
+    twice = [(100, [50.0] + rows[100][1][1:])]
+    df = spark.createDataFrame(rows + far + short + twice, "vec_id long, embedding array<double>")
+    want = brute_nearest([(i, x) if i != 100 else (i, min(x, twice[0][1])) for i, x in rows + far])
+    for block in (16, 64):
+        got = ann.search(df, block=block).collect()
+        same = [x for x in map(tuple, got) if x[3] < float("inf")]
+        same_neighbours(same, [x for x in want if x[3] < float("inf")])
+        assert sorted(x[:3] for x in map(tuple, got)) == [x[:3] for x in want]
+
+
 def test_nearest_against_sql(spark, sf):
     import duckdb
 

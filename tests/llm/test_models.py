@@ -52,6 +52,65 @@ def test_kneser_ney_against_sums_by_hand(spark):
         assert np.exp2(model.log2(ctx | alphabet).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def brute_log2(texts, asked):
+    """Interpolated modified Kneser-Ney by recursion over tuples of codes: mean log2 of the characters of each asked text."""
+    from collections import Counter
+    from functools import cache
+
+    order, size = quality.ORDER, 1 << quality.CODE_BITS
+    code = lambda t: (*[quality.START] * (order - 1), *[min(ord(c), quality.OTHER) for c in t], quality.END)
+    counts = {order: Counter(c[i - order + 1 : i + 1] for c in map(code, texts) for i in range(order - 1, len(c)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts = {}
+    for n, c in counts.items():
+        by = Counter(c.values())
+        y = by[1] / (by[1] + 2 * by[2]) if by[1] + by[2] else 0.5
+        cuts[n] = [min(max(i - (i + 1) * y * by[i + 1] / max(by[i], 1), 0.1), i - 0.05) for i in (1, 2, 3)]
+
+    @cache
+    def p(g):
+        n = len(g)
+        lower = 1 / size if n == 1 else p(g[1:])
+        own = {x: a for x, a in counts[n].items() if x[:-1] == g[:-1]}
+        if not own:
+            return lower
+        cut = lambda a: cuts[n][min(a, 3) - 1]
+        total = sum(own.values())
+        return max(0, own.get(g, 0) - (cut(own[g]) if g in own else 0)) / total + sum(map(cut, own.values())) / total * lower
+
+    out = []
+    for t in asked:
+        c = code(t)
+        out.append(np.mean([np.log2(p(c[i - order + 1 : i + 1])) for i in range(order - 1, len(c))]))
+    return out
+
+
+def test_kneser_ney_against_a_recursion(spark):
+    texts = ["abab abc", "abcab cab", "aa b", "", "the cat and the bat sat", "the end of the band"]
+    asked = [*texts, "abc the zebra", "\U0001f600 x", "q"]
+    model = quality.collected(*quality.train(spark.createDataFrame([("en", t) for t in texts], "lang string, text string")))["en"]
+    keys, begins = quality.ngrams(*quality.codes_of(asked))
+    bits = np.add.reduceat(model.log2(keys).astype(float), begins) / np.diff(np.append(begins, len(keys)))
+    assert bits == pytest.approx(brute_log2(texts, asked), rel=1e-4)
+
+
+def test_quality_keeps_callers_columns(spark, tables):
+    """Columns named like those that the stages make come back as they were."""
+    import corpus_pipeline as pipeline
+
+    docs, _ = tables
+    docs = docs.unionByName(docs.limit(30))
+    names = ("n", "keep", "low", "high", "perplexity_", "l_", "b_", "fold_", "node_", "node", "spans_", "base_", "tokens_", "key_", "copies_", "rows_", "k", "row", "x0", "size", "target")
+    rows = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SF)
+        assert got.columns == rows.columns, name
+        wrong = " or ".join(f"`{c}` is distinct from concat('{c}:', cast(doc_id as string))" for c in names)
+        assert got.filter(wrong).isEmpty() and not got.isEmpty(), name
+        assert stage(spark, rows.limit(0), SF).count() == 0
+
+
 def test_lookup():
     draw = np.random.default_rng(0)
     keys = np.unique(draw.integers(0, 1 << 60, 5000))
