@@ -328,22 +328,6 @@ def pkg_json(spark, d):
 # Texts as models
 
 
-@query(
-    r"""WITH l AS (SELECT doc_id, i, regexp_replace(t[i], '[ \t]+$', '') AS c FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\n$', ''), chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) AS u(i)),
-       k AS (SELECT *, CASE WHEN trim(c) = '' THEN 'blank' WHEN regexp_matches(c, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(c, '^---\s*$') THEN 'break' WHEN regexp_matches(c, '^\s*([-*+]|\d+[.)]) ') THEN 'item' WHEN regexp_matches(c, '^\|.*\|\s*$') THEN 'row' ELSE 'para' END AS kind FROM l),
-       g AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR lag(kind) OVER w <> kind OR kind IN ('heading', 'break', 'item') THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-       b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM g)
-       SELECT doc_id, CAST(count(DISTINCT block) AS BIGINT) AS blocks, CAST(count(*) FILTER (WHERE kind = 'row') AS BIGINT) AS table_rows FROM b WHERE kind <> 'blank' GROUP BY doc_id"""
-)
-def grm_blocks(spark, d):
-    """Blocks of each document, and its table rows."""
-    from tessera.operators.blocks import blocks
-
-    own = blocks(read(spark, d, "documents"))
-    rows = F.when(F.col("kind") == "row", F.size(F.split("content", "\n"))).otherwise(0)
-    return own.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(rows).alias("table_rows"))
-
-
 @query("SELECT doc_id, TRUE AS same, length(text) > 0 AS held FROM documents")
 def grm_canonical(spark, d):
     """The canonical form of a canonical form is itself."""

@@ -128,4 +128,19 @@ def map_minus(own: Column, base: Column) -> Column:
 
 def occurrences(text: Column, part: str) -> Column:
     """0-based starts of part in text, overlapping ones too."""
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - (len(part) - 1))), lambda i: F.substring(text, i, F.lit(len(part))) == part), lambda i: i - 1)
+    import re
+
+    pieces = F.split(text, f"(?={re.escape(part)})", -1)  # cut before each occurrence
+    sizes = F.transform(pieces, lambda x: F.char_length(x))
+    none = F.array().cast("array<int>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    starts = F.aggregate(sizes, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    return F.when(text.contains(part), F.when(text.startswith(part), starts).otherwise(F.slice(starts, 2, 1 << 30))).otherwise(F.when(text.isNotNull(), none))
+
+
+def occurrence_count(text: Column, part: str) -> Column:
+    """How many occurrences() there are."""
+    import re
+
+    pieces = F.size(F.split(text, f"(?={re.escape(part)})", -1))
+    return F.when(text.contains(part), F.when(text.startswith(part), pieces).otherwise(pieces - 1)).otherwise(F.when(text.isNotNull(), 0)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: places of a property that a report names.
@@ -22,11 +22,13 @@ def dropped(properties: DataFrame, capabilities: DataFrame) -> DataFrame:
 
 def loss_report(properties: DataFrame, capabilities: DataFrame, keeps: DataFrame) -> DataFrame:
     """(doc_id, what, n, places): dropped properties by key, with their first lines, and placeholders (doc_id, line, kind)
-    by kind. Lines are counted before any are listed, and a list never holds more than PLACES of a task's smallest."""
+    by kind. Lines are counted and ranked first, so that a list never holds more than PLACES of them."""
     lost = dropped(properties, capabilities).select("doc_id", F.concat(F.lit("property "), "key").alias("what"), "line")
     all_ = lost.unionByName(keeps.select("doc_id", F.concat(F.lit("placeholder "), "kind").alias("what"), "line"))
     per_line = all_.groupBy("doc_id", "what", "line").agg(F.count("*").alias("n"))
-    return per_line.groupBy("doc_id", "what").agg(F.sum("n").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("line")), 1, PLACES), ",").alias("places"))
+    ranked = per_line.withColumn("k_", F.row_number().over(Window.partitionBy("doc_id", "what").orderBy("line")))
+    first = F.array_sort(F.collect_list(F.when(F.col("k_") <= PLACES, F.col("line"))))
+    return ranked.groupBy("doc_id", "what").agg(F.sum("n").alias("n"), F.array_join(first, ",").alias("places"))
 
 
 def lossless(report: DataFrame, docs: DataFrame) -> DataFrame:

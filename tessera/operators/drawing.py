@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def style_records(cells: DataFrame, style: str = "style") -> tuple[DataFrame, Da
 
 def series_shifted(series: DataFrame, sheet: str, cols: tuple[int, int], at: int, n: int) -> DataFrame:
     """series (chart, seq, formula: a reference with its sheet) with the formulas after n rows come in (or -n go)."""
-    import pandas as pd
-
     from tessera.functions.lazy import arrow_udf
     from tessera.functions.refs import shifted
 

@@ -26,7 +26,8 @@ def short_id(fingerprint: str) -> str:
 
 @arrow_udf("string")
 def short(fingerprint: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else short_id(x) for x in fingerprint], dtype=object)
+    known = {x: short_id(x) for x in set(fingerprint) if x is not None}
+    return fingerprint.map(known.get)
 
 
 def keep_ids(objects: DataFrame, by: str = "doc_id", seq: str = "seq", fp: str = "fp") -> DataFrame:

@@ -165,7 +165,9 @@ def presentation(docs: DataFrame, by: str = "doc_id", text: str = "text") -> Dat
 
 def presentation_text(model: DataFrame, by: str = "doc_id") -> DataFrame:
     """presentation() back as (by, text): slides apart by ---, attributes in order of their names."""
-    pairs = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit(" "), e["key"], F.lit("="), units.quoted(e["value"])))
+    from tessera.operators.views import attr
+
+    pairs = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), attr(F.coalesce(e["value"], F.lit(""))), F.lit('"')))
     tag = F.concat(F.lit("<"), F.col("kind"), F.array_join(pairs, ""), F.lit("/>"), F.when(F.col("text") != "", F.concat(F.lit("\n"), F.col("text"))).otherwise(""))
     piece = F.when(F.col("kind") == "head", F.concat(F.lit("# "), F.col("text"))).when(F.col("kind") == "body", F.col("text")).otherwise(tag)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("p")))), lambda x: x["p"]), "\n")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.values import number_of, sort_keys
+from tessera.sources.shared import stored
 
 
 class Refused(ValueError):
@@ -24,7 +25,17 @@ class Refused(ValueError):
 
 
 def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """df with pos, from 1, by order within by."""
+    """df with pos, from 1, by order within by. Without by rows are sorted by ranges, and each range counts on from those
+    before it, so no task sorts all; ranges are stored, as their counts must be those of the rows that are numbered."""
+    if not by:
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+        ranged = stored(ranged.withColumn("part_", F.shiftright("at_", 33)).withColumn("at_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+        starts, total = [], 0
+        for r in sorted(ranged.groupBy("part_").agg(F.min("at_").alias("low"), F.count("*").alias("n")).collect()):  # a row a task
+            starts.append((r.part_, total - r.low + 1))
+            total += r.n
+        begins = F.broadcast(df.sparkSession.createDataFrame(starts, "part_ long, start_ long"))
+        return ranged.join(begins, "part_").withColumn("pos", F.col("at_") + F.col("start_")).drop("at_", "part_", "start_")
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
@@ -83,6 +94,27 @@ def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]], by: Sequence[str]
     return numbered(df, [*order, F.col("pos").asc()], by)
 
 
+#: Cells that one format operation writes at most.
+MAX_FORMAT = 100_000
+
+
+def format_range(styles: DataFrame, box: tuple[int, int, int, int], keys: dict[str, str]) -> DataFrame:
+    """styles (row, col, style: map) with the keys written on a range (c0, r0, c1, r1): border stands for all four sides of
+    each cell, outline for the sides at the range's edge; other keys as they are. Only written keys change."""
+    c0, r0, c1, r1 = box
+    if (c1 - c0 + 1) * (r1 - r0 + 1) > MAX_FORMAT:
+        raise Refused([(0, f"more than {MAX_FORMAT} cells")])
+    sides = ("top", "left", "bottom", "right")
+    plain = {k: v for k, v in keys.items() if k not in ("border", "outline")} | ({f"border-{s}": keys["border"] for s in sides} if "border" in keys else {})
+    inside = F.col("row").between(r0, r1) & F.col("col").between(c0, c1)
+    out = format_cells(styles, inside, plain) if plain else styles
+    if "outline" in keys:
+        edges = {"top": F.col("row") == r0, "left": F.col("col") == c0, "bottom": F.col("row") == r1, "right": F.col("col") == c1}
+        for s in sides:
+            out = format_cells(out, inside & edges[s], {f"border-{s}": keys["outline"]})
+    return out
+
+
 def format_cells(styles: DataFrame, at: Column, keys: dict[str, str]) -> DataFrame:
     """style: map<string, string>; where at holds the written keys replace those of the cell, others stay."""
     from tessera.functions.values import overlay
@@ -94,13 +126,16 @@ def format_cells(styles: DataFrame, at: Column, keys: dict[str, str]) -> DataFra
 # The range operations, and the columns' types.
 OPS = ("set", "append_rows", "insert_rows", "delete_rows", "fill_formula", "set_type", "add_column", "sort", "add_table", "add_sheet", "format")
 TYPES = ("text", "number", "date", "mixed")
+# Fixed value: new rows that one list of operations adds at most, unless a book says otherwise.
+MAX_NEW_ROWS = 50
 
 
 class Book:
     """A catalogue of tables (name -> DataFrame with pos, column types), and operations applied all or none."""
 
-    def __init__(self, tables: dict[str, tuple[DataFrame, dict[str, str]]], sheets: Sequence[str] = ("Sheet1",)) -> None:
-        self.tables, self.sheets = dict(tables), list(sheets)
+    def __init__(self, tables: dict[str, tuple[DataFrame, dict[str, str]]], sheets: Sequence[str] = ("Sheet1",), formulas: dict[tuple[str, str], str] | None = None, budget: int = MAX_NEW_ROWS) -> None:
+        """formulas: (table, column) -> the formula of a calculated column; budget: new rows of one list at most."""
+        self.tables, self.sheets, self.formulas, self.budget = dict(tables), list(sheets), dict(formulas or {}), budget
 
     def named(self, name: str) -> str | None:
         return next((t for t in self.tables if t.lower() == str(name).lower()), None)
@@ -132,6 +167,10 @@ class Book:
             fits = v is None or columns[c] == "mixed" or isinstance(v, str) and columns[c] in ("text", "date") or isinstance(v, int | float) and not isinstance(v, bool) and columns[c] == "number"
             if not fits:
                 return f"{v!r} is no {columns[c]} for {c}"
+            if (table, c) in self.formulas and v is not None:
+                return f"{c} is calculated; its cells can't be written"
+        if kind in ("set", "delete_rows") and not 1 <= op["range"][0] <= op["range"][1]:
+            return f"rows {op['range'][0]}:{op['range'][1]} are no data rows"
         if kind == "set_type":
             if op["type"] not in TYPES or {columns[op["column"]], op["type"]} == {"number", "date"}:
                 return f"{op['column']} can't become {op['type']}"
@@ -144,11 +183,14 @@ class Book:
 
     def apply(self, ops: Sequence[dict] | str) -> Book:
         """A new book with ops (dicts, or their JSON) applied in order, or Refused with all problems."""
-        from tessera.plans.formula import FormulaError, fill, parse
+        from tessera.plans.formula import FormulaError, fill, order, parse
 
         ops = json.loads(ops) if isinstance(ops, str) else ops
         tables, sheets = {t: dict(c) for t, (_, c) in self.tables.items()}, list(self.sheets)
         problems = []
+        added = sum(len(op.get("rows") or []) for op in ops if op.get("op") in ("append_rows", "insert_rows", "add_table"))
+        if added > self.budget:
+            problems.append((len(ops) - 1, f"{added} new rows; at most {self.budget} in one list"))
         for i, op in enumerate(ops):
             try:
                 if what := self.problem(op, tables, sheets):
@@ -159,7 +201,7 @@ class Book:
                 problems.append((i, f"{e}"))
         if problems:
             raise Refused(problems)
-        out = Book(self.tables, sheets)
+        out = Book(self.tables, sheets, self.formulas, self.budget)
         spark = next(iter(self.tables.values()))[0].sparkSession
         sql = {"text": "string", "number": "double", "date": "string", "mixed": "string"}
         for op in ops:
@@ -184,7 +226,7 @@ class Book:
                 for c, v in op["values"].items():
                     df = df.withColumn(c, F.when(F.col("pos").between(*op["range"]), F.lit(v).cast(dict(df.dtypes)[c])).otherwise(F.col(c)))
             elif kind == "fill_formula":
-                df = fill(df, op["column"], op["formula"], {t: x for t, (x, _) in out.tables.items()}).drop(f"{op['column']}_err")
+                out.formulas[(name, op["column"])] = op["formula"]
             elif kind == "set_type":
                 df, columns = set_type(df, op["column"], op["type"]), columns | {op["column"]: op["type"]}
             elif kind == "add_column":
@@ -198,4 +240,9 @@ class Book:
                     temp = temp.withColumn(f"key_{k}", cell(F.col(c)) if columns[c] == "number" else cell(None, F.col(c)))
                 df = sort_rows(temp, [(f"key_{k}", desc) for k, (_, desc) in enumerate(op["keys"])]).select(*df.columns)
             out.tables[name] = (df, columns)
+            own = {c: f for (t, c), f in out.formulas.items() if t == name}
+            if kind in ("append_rows", "insert_rows", "set", "fill_formula", "set_type"):  # calculated columns go down all rows
+                for c in order(own):
+                    df = fill(df, c, own[c], {t: x for t, (x, _) in out.tables.items()}).drop(f"{c}_err")
+                out.tables[name] = (df, columns)
         return out

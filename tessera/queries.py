@@ -173,7 +173,7 @@ def agg_type_inference(spark, d):
 
 @query("SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())")
 def agg_census(spark, d):
-    return aggregates.census(read(spark, d, "documents"), "lang", "source", "doc_id")
+    return aggregates.census(read(spark, d, "documents"), "lang", "source")
 
 
 @query("WITH p AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderpriority, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS k FROM p) WHERE k = 1")
@@ -211,12 +211,14 @@ def join_overlap(spark, d):
     return lookups.overlaps(g.select("sheet", "id", F.struct("c0", "r0", "c1", "r1").alias("r")))
 
 
-LINKS = "SELECT * FROM (VALUES ('_rels', 'document'), ('document', 'styles'), ('document', 'header1'), ('header1', 'image1'), ('image1', 'document'), ('orphan', 'image2')) AS t(src, dst)"
-
-
-@query(f"WITH RECURSIVE e AS ({LINKS}), w(node, depth) AS (SELECT '_rels', 0 UNION ALL SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 8) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@query("SELECT p_partkey AS node, CAST(p_partkey % 10 AS INTEGER) AS depth FROM part WHERE p_partkey % 10 < 8 AND p_partkey % 20 < 10")
 def reach_parts(spark, d):
-    return lookups.reachable(spark, spark.sql(LINKS), spark.sql("SELECT '_rels' AS node"))
+    """Chains of eight parts, each with links back to its first part and to itself; every other chain has no root."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("src"))
+    last = part.select(F.col("src").alias("dst"))
+    edges = part.filter("src % 10 < 7").select("src", (F.col("src") + 1).alias("dst")).join(last, "dst", "left_semi").select("src", "dst")
+    back = part.filter("src % 10 < 8").select("src", F.explode(F.array(F.col("src") - F.col("src") % 10, F.col("src"))).alias("dst"))
+    return lookups.reachable(spark, edges.unionByName(back), part.filter("src % 20 = 0").select(F.col("src").alias("node")))
 
 
 @query("SELECT * FROM (VALUES ('gross', 1), ('net', 2), ('tax', 3), ('total', 4)) AS t(\"column\", step)")
@@ -347,9 +349,11 @@ def txt_clip(spark, d):
     return windows.clip(read(spark, d, "documents"), 2000).select("doc_id", F.col("last_line").cast("int").alias("last_line"))
 
 
-@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents")
+@query("SELECT doc_id, CAST(len(list_filter(list_slice(p, 2, len(p) - 1), lambda x: x = 'n')) AS BIGINT) AS n, CASE WHEN contains(text, 'ana') THEN CAST(strpos(text, 'ana') - 1 AS INTEGER) END AS first FROM (SELECT doc_id, text, string_split(text, 'a') AS p FROM documents)")
 def txt_occurrences(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("(the)"))).cast("long").alias("n"))
+    """How often ana stands in each text, overlapping ones too, and where first. (SQL: an n alone between two a.)"""
+    text = F.col("text")
+    return read(spark, d, "documents").select("doc_id", values.occurrence_count(text, "ana").alias("n"), F.get(values.occurrences(text, "ana"), 0).alias("first"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x84\\x{85}\\x{86}-\\x{a0}\\x{ad}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{feff}\\x{fffd}]')) AS BIGINT) AS n FROM documents")
@@ -357,14 +361,24 @@ def txt_unusual(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(chars.unusual(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, i, t[i] AS c FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\n$', ''), chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) AS u(i)),
+       k AS (SELECT *, CASE WHEN trim(c) = '' THEN 'blank' WHEN regexp_matches(c, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(c, '^---\s*$') THEN 'break' WHEN regexp_matches(c, '^\s*([-*+]|\d+[.)]) ') THEN 'item' WHEN regexp_matches(c, '^\|.*\|\s*$') THEN 'row' ELSE 'para' END AS kind FROM l),
+       g AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR lag(kind) OVER w <> kind OR kind IN ('heading', 'break', 'item') THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+       b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS block FROM g)
+       SELECT doc_id, block, kind, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last, string_agg(c, chr(10) ORDER BY i) AS content FROM b WHERE kind <> 'blank' GROUP BY doc_id, block, kind"""
+)
 def txt_blocks(spark, d):
     return blocks.blocks(read(spark, d, "documents"))
 
 
-@query()
+#: FNV-1a of 64 bits of a text's UTF-8, byte by byte in integers of 128 bits.
+FNV = """list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT), list_transform(regexp_extract_all(hex(encode(coalesce({0}, ''))), '..'), lambda x: CAST(CAST(concat('0x', x) AS BIGINT) AS HUGEINT))), lambda h, b: CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211 % CAST('18446744073709551616' AS HUGEINT))"""
+
+
+@query(f"SELECT doc_id, lpad(lower(to_hex(CAST({FNV.format('text')} AS UBIGINT))), 16, '0') AS digest FROM documents")
 def dig_fnv1a(spark, d):
-    return read(spark, d, "benchmark").select("item_id", revisions.digest("text").alias("digest"))
+    return read(spark, d, "documents").select("doc_id", revisions.digest("text").alias("digest"))
 
 
 # Revisions
@@ -389,15 +403,25 @@ def rev_stale(spark, d):
 # Safety and quality
 
 
-@query("SELECT page_id, 'script' AS kind, 'neutralised' AS phase, CAST(len(regexp_extract_all(lower(html), '<script\\b')) AS BIGINT) AS n FROM pages WHERE regexp_matches(lower(html), '<script\\b') UNION ALL SELECT page_id, 'comment', 'surfaced', CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) FROM pages WHERE contains(html, '<!--')")
+def _rule(kind: str, phase: str, pattern: str) -> str:
+    found = "regexp_extract_all(html, '" + pattern.replace("'", "''") + "')"
+    return f"SELECT page_id, '{kind}' AS kind, '{phase}' AS phase, CAST(len({found}) AS BIGINT) AS n FROM pages WHERE len({found}) > 0"
+
+
+@query(" UNION ALL ".join(_rule(*r) for r in safety.RULES))
 def safe_scan(spark, d):
-    return safety.notices(read(spark, d, "pages"), "page_id", "html").filter("kind in ('script', 'comment')")
+    return safety.notices(read(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT * FROM (VALUES ('=SUM(T[a])', NULL), ('=WEBSERVICE(\"http://x\")', 'WEBSERVICE'), ('=\"RTD(1)\"&\"x\"', NULL), ('=1+rtd(\"a\",,\"b\")', 'RTD'), ('=REGISTER.ID(\"a\")', 'REGISTER.ID')) AS t(formula, notice)")
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN 'WEBSERVICE' WHEN 3 THEN 'RTD' WHEN 4 THEN 'REGISTER.ID' WHEN 5 THEN 'DDE' END AS notice FROM part")
 def safe_formula_text(spark, d):
-    texts = ["=SUM(T[a])", '=WEBSERVICE("http://x")', '="RTD(1)"&"x"', '=1+rtd("a",,"b")', '=REGISTER.ID("a")']
-    return spark.createDataFrame([(t,) for t in texts], "formula string").withColumn("notice", safety.unsafe_formula(F.col("formula")))
+    """Parts' names in formulas that sum, fetch, quote a fetching function, or name another program."""
+    name = F.col("p_name")
+    texts = [("=SUM(T[", "])"), ('=WEBSERVICE("http://', '")'), ('="RTD(', ')"&"x"'), ('=1+rtd("', '",,"b")'), ('=REGISTER.ID("', '")'), ("=CMD|'", "'!A1")]
+    text = F.lit(None).cast("string")
+    for k, (a, b) in enumerate(texts):
+        text = F.when(F.col("p_size") % 6 == k, F.concat(F.lit(a), name, F.lit(b))).otherwise(text)
+    return read(spark, d, "part").select("p_partkey", safety.unsafe_formula(text).alias("notice"))
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS warnings, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'refused' WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN 'degraded' ELSE 'as is' END AS status FROM events GROUP BY user_id")
@@ -415,7 +439,7 @@ def num_date_serial(spark, d):
     return read(spark, d, "orders").select("o_orderkey", serial.alias("serial"), values.date_text(serial).alias("shown"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, CAST(round(CAST(printf('%.14e', l_extendedprice * l_tax) AS DECIMAL(38,18)), 1) AS DOUBLE) AS rounded FROM lineitem")
 def num_round15(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", values.round15(F.col("l_extendedprice") * F.col("l_tax"), 1).alias("rounded"))
 
@@ -437,12 +461,14 @@ def rng_shift(spark, d):
     return g.select("id", moved.alias("moved"), to.alias("to")).select("id", "moved", "to.r0", "to.r1")
 
 
-@query("SELECT * FROM (VALUES ('a', 'bold:1;color:red;size:12', 'color:red;size:12'), ('b', 'bold:0;size:10', 'size:10')) AS t(id, \"all\", diff)")
+@query("SELECT p_partkey, 'bold:' || p_brand || ';color:' || p_type || ';size:' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '10' END AS \"all\", 'color:' || p_type || CASE WHEN p_partkey % 2 = 0 AND p_size <> 10 THEN ';size:' || p_size ELSE '' END AS diff FROM part")
 def map_overlay(spark, d):
-    rows = spark.createDataFrame([("a", {"bold": "1", "size": "10"}, {"color": "red", "size": "12"}), ("b", {"bold": "0", "size": "10"}, {"size": "10"})], "id string, base map<string,string>, own map<string,string>")
+    """Own properties over others, and what then differs from them."""
+    base = F.create_map(F.lit("bold"), "p_brand", F.lit("size"), F.lit("10"))
+    own = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("color"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))).otherwise(F.create_map(F.lit("color"), F.col("p_type")))
     text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"]))), ";")
-    whole = values.overlay(F.col("base"), F.col("own"))
-    return rows.select("id", text(whole).alias("all"), F.when(F.col("id") == "a", text(values.map_minus(whole, F.create_map(F.lit("bold"), F.lit("1"))))).otherwise(text(values.map_minus(whole, F.create_map(F.lit("bold"), F.lit("0"))))).alias("diff"))
+    whole = values.overlay(base, own)
+    return read(spark, d, "part").select("p_partkey", text(whole).alias("all"), text(values.map_minus(whole, base)).alias("diff"))
 
 
 # Matches
@@ -454,14 +480,17 @@ def num_length(spark, d):
     return rows.withColumn("back", units.parse_length(F.col("shown")))
 
 
-@query("SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{2E80}-\\x{312F}\\x{3190}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{3FFFF}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'latin' WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'hangul' ELSE 'cjk' END AS script FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{2E80}-\\x{312F}\\x{3190}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{3FFFF}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'latin' WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7A3}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}]') THEN 'hangul' ELSE 'cjk' END AS script FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def txt_script(spark, d):
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", units.script(F.col("text")).alias("script"))
+    return read(spark, d, "documents").select("doc_id", units.script(F.coalesce("text", F.lit(""))).alias("script"))
 
 
-@query("SELECT * FROM (VALUES ('Net', 'Sheet1!A1', 2), ('mid', 'Sheet1!A1', 1), ('end', 'Sheet1!A1', 0), ('loop', NULL, 8)) AS t(name, target, steps)")
+@query("SELECT 'n' || p_partkey AS name, CASE WHEN p_partkey % 5 < 4 THEN 'Sheet1!A' || (p_partkey - p_partkey % 5 + 1) END AS target, CAST(CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 ELSE 8 END AS INTEGER) AS steps FROM part")
 def join_names(spark, d):
-    return matching.defined_names(spark.createDataFrame([("Net", "MID"), ("mid", "End"), ("end", "Sheet1!A1"), ("loop", "Loop")], "name string, refers string"))
+    """Of five names the first is a cell, three stand for the one before, in capitals, and the last stands for itself."""
+    k = F.col("p_partkey")
+    refers = F.when(k % 5 == 0, F.concat(F.lit("Sheet1!A"), k + 1)).when(k % 5 == 4, F.concat(F.lit("N"), k)).otherwise(F.concat(F.lit("N"), k - 1))
+    return matching.defined_names(read(spark, d, "part").select(F.concat(F.lit("n"), k).alias("name"), refers.alias("refers")))
 
 
 @query(f"WITH g AS ({RANGES}), c AS (SELECT DISTINCT CAST(event_id % 97 AS BIGINT) AS r, CAST(event_id % 89 AS BIGINT) AS k FROM events WHERE event_id % 11 = 0) SELECT id FROM g WHERE EXISTS (SELECT 1 FROM c WHERE c.r BETWEEN g.r0 AND g.r1 AND c.k BETWEEN g.c0 AND g.c1)")
@@ -535,7 +564,7 @@ def txt_tracked(spark, d):
     return entries.tracked(rows.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "engine", "id")
 
 
-@query()
+@query("WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, 1 AS id, 'placed' AS status, 7 AS start, CAST(least(n, 100) + 7 AS INTEGER) AS \"end\" FROM n UNION ALL SELECT doc_id, 2, 'placed', CAST(greatest(n - 100, 0) + 7 AS INTEGER), CAST(n + 7 AS INTEGER) FROM n")
 def place_entries(spark, d):
     """Every document's first and last hundred letters, through an edit that puts a word before the text."""
     docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -545,7 +574,10 @@ def place_entries(spark, d):
     return entries.placed(rows, docs.select("doc_id", F.col("text").alias("old"), F.concat(F.lit("Again: "), F.col("text")).alias("new")))
 
 
-@query()
+DIGIT = "substr('0123456789abcdefghijklmnopqrstuv', CAST(h // {0} % 32 AS INTEGER) + 1, 1)"
+
+
+@query(f"SELECT doc_id, seq, fp, 'k' || {DIGIT.format(1)} || {DIGIT.format(32)} || {DIGIT.format(1024)} || {DIGIT.format(32768)} || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS keep_id FROM (SELECT l_orderkey AS doc_id, l_linenumber AS seq, l_returnflag AS fp, {FNV.format('l_returnflag')} AS h, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS k FROM lineitem)")
 def keep_ids(spark, d):
     return entries.keep_ids(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("fp")))
 

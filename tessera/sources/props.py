@@ -99,7 +99,7 @@ def runs_of(data: bytes) -> list[dict]:
                 state["field"] -= marks.count("end")
                 text = "".join("\n" if local(x.tag) == "br" else "\t" if local(x.tag) == "tab" else (x.text or "") for x in c if local(x.tag) in ("t", "delText", "br", "tab", "instrText"))
                 props = next((run_props(x) for x in c if local(x.tag) == "rPr"), {})
-                out.append({"para": paras, "run": state["run"], "text": text, "props": list(props.items()), "role": now})
+                out.append({"para": paras, "run": state["run"], "text": text, "props": props, "role": now})
                 state["run"] += 1
             elif name in ("ins", "moveTo"):
                 walk(c, "inserted", state)
@@ -191,7 +191,7 @@ def cell_styles_of(data: bytes) -> list[dict]:
         for al in children(e, "alignment"):
             props |= {{"horizontal": "align", "vertical": "valign"}.get(n, n): v for n, v in attrs_of(al).items()}
         n = int(a.get("numFmtId", 0))
-        out.append({"xf": k, "numfmt": n, "code": codes.get(n), "props": sorted(props.items())})
+        out.append({"xf": k, "numfmt": n, "code": codes.get(n), "props": props})
     return out
 
 
