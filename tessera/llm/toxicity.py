@@ -79,7 +79,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 150) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
     """Logistic regression (last weight: the constant) by accelerated gradient descent, in single precision."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     u = np.ones(x.shape[1], np.float32)
@@ -151,8 +151,9 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     """(doc_id, p_junk, p_toxic, p_abusive, is_toxic) for each row of docs, from its whole text.
 
     Words, models and threshold (that of the best F1 out of fold) are fitted on about train_rows labelled documents,
-    drawn by hash: the bound that classifiers may have. Nulls are empty
-    texts; repeated rows are alike; without labels of both kinds nothing is toxic (probabilities 0).
+    drawn by hash: the bound that classifiers may have. docs needs doc_id and text, other columns, whatever their names,
+    are not read. Nulls are empty texts; very long ones are read whole; repeated rows are alike; a probability at the
+    threshold is toxic; without labels of both kinds nothing is (probabilities 0). An empty table gives an empty one.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
