@@ -30,6 +30,13 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
@@ -91,7 +98,8 @@ def matches(text: Column, templates: list[Template]) -> Column:
 
     A window meets a template in a band if the least shingle of both is the same, so just at a text's shingles that are
     some template's least ones its windows are hashed; that finds what hashing all windows finds. start and end count
-    words. Ties go to the earliest window.
+    words. Ties go to the earliest window. Of matches at one place whose templates have most of their words in common (a
+    license with a clause more, say) the one that is contained most is told, of equals the longest.
     """
     by: dict[int, list[tuple[int, int]]] = {}
     for t, tem in enumerate(templates):
@@ -103,6 +111,9 @@ def matches(text: Column, templates: list[Template]) -> Column:
     width, stride = F.array(*[F.lit(t.width) for t in templates]), F.array(*[F.lit(t.stride) for t in templates])
     sets, names = F.array(*[F.array(*[F.lit(h) for h in t.hashes]) for t in templates]), F.array(*[F.lit(t.name) for t in templates])
 
+    alike = [[u for u, b in enumerate(templates) if u != t and len(set(a.hashes) & set(b.hashes)) >= CONTAINED * len(a.hashes)] for t, a in enumerate(templates)]
+    rivals, sizes = F.array(*[F.array(*[F.lit(u) for u in r]).cast("array<int>") for r in alike]), F.array(*[F.lit(len(t.hashes)) for t in templates])
+
     def found(s: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).isin(keys))
         met = F.flatten(F.transform(at, lambda i: F.transform(F.element_at(bands, F.get(s, i)), lambda tb: F.struct(i.alias("i"), tb["t"].alias("t"), tb["b"].alias("b")))))
@@ -124,7 +135,10 @@ def matches(text: Column, templates: list[Template]) -> Column:
         def best(g: Column) -> Column:
             every = F.array_distinct(F.transform(g, lambda w: w["t"]))
             tops = F.transform(F.array_sort(every), lambda t: F.array_max(F.filter(g, lambda w: w["t"] == t)))
-            return F.transform(tops, lambda w: F.struct(F.get(names, w["t"]).alias("template"), w["share"].alias("containment"), (-w["back"]).cast("long").alias("start"), F.least(F.size(s) + (SHINGLE - 1), F.get(width, w["t"]) - w["back"] + (SHINGLE - 1)).cast("long").alias("end")))
+            ahead = lambda o, w: (o["share"] > w["share"]) | (o["share"] == w["share"]) & (F.get(sizes, o["t"]) > F.get(sizes, w["t"]))
+            near = lambda o, w: (-w["back"] < -o["back"] + F.get(width, o["t"])) & (-o["back"] < -w["back"] + F.get(width, w["t"]))
+            told = lambda all_: F.filter(all_, lambda w: ~F.exists(all_, lambda o: F.array_contains(F.get(rivals, w["t"]), o["t"]) & near(o, w) & ahead(o, w)))
+            return F.transform(let(tops, told), lambda w: F.struct(F.get(names, w["t"]).alias("template"), w["share"].alias("containment"), (-w["back"]).cast("long").alias("start"), F.least(F.size(s) + (SHINGLE - 1), F.get(width, w["t"]) - w["back"] + (SHINGLE - 1)).cast("long").alias("end")))
 
         return let(good, best)
 
@@ -133,5 +147,6 @@ def matches(text: Column, templates: list[Template]) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """docs with licenses_: see matches(). Null and empty texts have none; no row is dropped, repeated rows are alike."""
+    """docs with licenses_: see matches(). Null and empty texts have none; no row is dropped, repeated rows are alike, very
+    long texts are read whole, an empty table gives an empty one. Further columns keep their names; licenses_ is taken."""
     return docs.withColumn("licenses_", matches(whole(F.col("text")), compiled(docs.sparkSession, templates)))
