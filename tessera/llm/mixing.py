@@ -153,8 +153,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
 
     All columns keep their names and values. Nulls, repeated rows, very long texts and empty tables: see mix.
     """
-    by_key = mix(docs, weights, most, seed).groupBy("k").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
+    by_key = mix(docs, weights, most, seed).groupBy("k").agg(F.sum("copies").alias("copies_"))
     by_key = by_key.filter("copies_ > 0").withColumnRenamed("k", "key_")
-    both = docs.withColumn("key_", key()).join(by_key, "key_")
-    once = both.filter("rows_ = 1").unionByName(both.filter("rows_ > 1").dropDuplicates(["key_"]))
+    # equal rows become one before they move; the join keeps their partitioning, so texts move once
+    once = docs.withColumn("key_", key()).dropDuplicates(["key_"]).join(by_key, "key_")
     return once.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
