@@ -43,7 +43,7 @@ TASK_TOKENS = 1_000_000
 #: Buckets of the words before by which leaves are told apart, rows of weights that travel together, tokens of a batch.
 BEFORE, BLOCK, STEP = 256, 16, 1 << 14
 #: Bytes of text that a task holds as words at a time, about.
-PART = 1 << 21
+PART = 1 << 22
 _end = xxhash.xxh64_intdigest(b"\n", 42)  # no word holds a line end
 END = _end - (1 << 64) * (_end >> 63)
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
