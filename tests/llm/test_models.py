@@ -95,6 +95,26 @@ def test_kneser_ney_against_a_recursion(spark):
     assert bits == pytest.approx(brute_log2(texts, asked), rel=1e-4)
 
 
+def test_quality_is_trained_on_all_trusted_text(spark):
+    """Scores are those of a direct recursion over all trusted texts of the language's other folds, or of all languages'."""
+    draw = np.random.default_rng(5)
+    words = ["ab", "cab", "bac", "aa", "c", "abba"]
+    rows = [(i, " ".join(draw.choice(words, 4)) + f" {i}", "en" if i % 3 else "de") for i in range(60)]
+    rows += [(900, "zab c", "xx"), (901, "abba cab", "en"), (902, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    fold = {r.doc_id: r.f % 2 for r in docs.select("doc_id", quality.fold_hash().alias("f")).collect()}
+    own, _ = quality.scored(docs, labels, train_docs=10)
+    got = {r.doc_id: r.perplexity_ for r in own.collect()}
+    for lang, asked in (("en", lambda x: x == "en"), ("de", lambda x: x == "de"), (None, lambda x: x not in ("en", "de"))):
+        for f in (0, 1):
+            seen = [t for i, t, x in rows[:60] if lang in (None, x) and fold[i] != f]
+            mine = [(i, t or "") for i, t, x in rows if asked(x) and fold[i] == f]
+            assert len(seen) > 5
+            want = brute_log2(seen, [t for _, t in mine])
+            assert [got[i] for i, _ in mine] == pytest.approx([2.0**-x for x in want], rel=1e-4)
+
+
 def test_quality_keeps_callers_columns(spark, tables):
     """Columns named like those that the stages make come back as they were."""
     import corpus_pipeline as pipeline
