@@ -51,19 +51,25 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
 
 
-def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, depth: np.ndarray, used: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def portioned(sizes: np.ndarray, limit: int) -> list[np.ndarray]:
+    """The indices of sizes in a row, in portions whose sizes add up to limit and one more at most."""
+    before = np.cumsum(sizes) - sizes
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(before // limit)) + 1)
+
+
+def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, depth: np.ndarray, used: np.ndarray, budget: int, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs (i < j in trie order) within the budget, below the given pairs of trie nodes.
 
     keys is sorted within each node; node pair t is keys[lo:hi] against keys[lo2:hi2], both at bit depth[t], with
     used[t] bits that differ above. Pairs descend together; a child pair is dropped once its used bits exceed the
-    budget. Pairs with few members are compared outright.
+    budget. Pairs with few members are compared outright, some pairs of keys at a time.
     """
     out_i, out_j = [], []
     front = [x.astype(np.int64) for x in (lo, hi, lo2, hi2, depth, used)]
 
     def leaf(sel: np.ndarray, lo, hi, lo2, hi2) -> None:
         n, m = (hi - lo)[sel], (hi2 - lo2)[sel]
-        for s in np.array_split(np.arange(len(n)), max(1, int((n * m).sum()) // 4_000_000 + 1)):
+        for s in portioned(n * m, pairs):
             size = n[s] * m[s]
             owner = np.repeat(np.arange(len(s)), size)
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

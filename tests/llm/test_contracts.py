@@ -147,6 +147,66 @@ def test_the_pipelines_candidates_are_those_of_the_tries(spark):
         assert all(len(set(coarse[fine == x])) == 1 for x in set(fine.tolist()))
 
 
+def test_the_pipelines_buckets_hold_little_at_once():
+    """What a task of the trie join holds beside its rows is bounded, and portions don't change its groups."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw, n = np.random.default_rng(11), 150_000
+    place = np.sort(draw.integers(0, n // 1500 << (near.KEY_BITS - near.TURN), n))
+    check = draw.integers(0, 1 << 63, (n // 3, 2), dtype=np.uint64).astype(np.int64)[draw.integers(0, n // 3, n)]  # of some rows two are near
+    node = np.arange(n)
+
+    def batches():
+        for at in range(0, n, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000]) for x in (place, node, check[:, 0], check[:, 1])], ["place", "node", "c0", "c1"])
+
+    def groups() -> tuple[list, int]:
+        tracemalloc.start()
+        try:
+            out = [b.to_pydict() for b in near._buckets(batches())]
+            return sorted(zip((x for b in out for x in b["key"]), (x for b in out for x in b["node"]), strict=True)), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    got, most = groups()
+    assert len(got) > 100 and most < 32 << 20, most
+    held, near.AT_ONCE, near.PAIRS = (near.AT_ONCE, near.PAIRS), n, 1 << 30
+    try:
+        whole, more = groups()
+    finally:
+        near.AT_ONCE, near.PAIRS = held
+    assert whole == got and more > 3 * most
+    for sizes in ([], [5], [0, 3, 9, 0, 1, 1, 20, 2]):
+        parts = simhash.portioned(np.array(sizes, np.int64), 10)
+        assert np.concatenate(parts).tolist() == list(range(len(sizes))) and all(sum(sizes[i] for i in x[:-1]) <= 10 for x in parts)
+
+
+def test_texts_go_to_python_by_small_batches(spark):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"id": [b.num_rows]})
+
+    largest = lambda: max(r.id for r in spark.range(0, 30_000, 1, 2).mapInArrow(sizes, "id long").collect())
+    with common.text_batches(spark):
+        assert largest() == common.BATCH_ROWS
+    assert spark.conf.get(key) == before and largest() == int(before)
+    spark.conf.set(key, "7")
+    try:
+        with common.text_batches(spark):
+            assert largest() == 7
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_fingerprints(docs, plain):
     got = {r.doc_id: r for r in fingerprints.edited(docs).collect()}
     assert len(got) == len(plain)

@@ -40,6 +40,16 @@ def test_quality_keeps_good_text_that_no_model_has_seen(spark):
     assert min(r.n for r in got) > 50 and all(r.kept > 0.95 for r in got), got
 
 
+def test_quality_thresholds_take_no_python_workers(spark):
+    """They are a table of the plan's own; of a list Spark makes an RDD, whose workers stand beside those with the models."""
+    scores = spark.createDataFrame([(i, "en", 30, 1.0 + i) for i in range(300)], "doc_id long, lang string, n long, perplexity_ double")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    cuts = quality.thresholds(scores, labels, ["en"])
+    assert "LocalRelation" in cuts._jdf.queryExecution().optimizedPlan().toString()
+    assert cuts.dtypes == [("l_", "string"), ("b_", "int"), ("low", "double"), ("high", "double")] and cuts.count() == 8
+    assert {r.low for r in cuts.collect() if r.b_ == 0} == {1.0} and {r.high for r in cuts.collect() if r.b_ == 0} == {300.0}
+
+
 def test_kneser_ney_against_sums_by_hand(spark):
     """On a small text: every seen context's probabilities sum to 1, and scores equal a direct recursion's."""
     texts = ["abab abc", "abcab cab", "aa b"]
