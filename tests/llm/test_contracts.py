@@ -183,6 +183,32 @@ def test_the_pipelines_buckets_hold_little_at_once():
         assert np.concatenate(parts).tolist() == list(range(len(sizes))) and all(sum(sizes[i] for i in x[:-1]) <= 10 for x in parts)
 
 
+def test_the_pipelines_large_buckets_make_no_square(spark, monkeypatch):
+    """What is near in a large bucket is one already; only what stands apart is compared with all blocks, and finds its like."""
+    n, alone = 400, 12
+    sets = [(i, [*range(50), 1000 + i]) for i in range(n)] + [(n + i, [*range(10_000 * (1 + i // 2), 10_000 * (1 + i // 2) + 50)]) for i in range(alone)]
+    grams = spark.createDataFrame(sets, "node long, grams array<long>").cache()
+    members = spark.createDataFrame([(k, n + alone, i) for k in range(6) for i, _ in sets], "key long, n long, node long")
+    sent, plain_links = [], near.links
+
+    def links(tasks, sets):
+        sent.append(tasks.count())
+        return plain_links(tasks, sets)
+
+    monkeypatch.setattr(near, "links", links)
+    got = {r.node: r.root for r in near.components(members, grams, 8).collect()}
+    assert got == {i: 0 for i in range(1, n)} | {n + i: n + i - 1 for i in range(1, alone, 2)}
+    assert sent[0] == 6 * (n + alone) and sent[1] < 4 * sent[0], sent
+
+
+def test_the_pipeline_shuffles_texts_of_candidates_only(spark):
+    from tessera.llm import common
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(2000)] + [(None, "x")], "doc_id long, text string")
+    got = [r.doc_id for r in common.mapped(docs, spark.createDataFrame([(7,), (1500,), (9999,)], "doc_id long")).collect()]
+    assert {7, 1500} <= set(got) and len(got) < 10 and common.mapped(docs, empty(docs.select("doc_id"))).count() == 0
+
+
 def test_texts_go_to_python_by_small_batches(spark):
     import pyarrow as pa
 
