@@ -195,10 +195,18 @@ def test_the_pipelines_large_buckets_make_no_square(spark, monkeypatch):
         sent.append(tasks.count())
         return plain_links(tasks, sets)
 
+    edges, plain_stars = [], near.star_components
+
+    def stars(links):
+        edges.append(links.filter("a <> b").distinct().count())
+        return plain_stars(links)
+
     monkeypatch.setattr(near, "links", links)
+    monkeypatch.setattr(near, "star_components", stars)
     got = {r.node: r.root for r in near.components(members, grams, 8).collect()}
     assert got == {i: 0 for i in range(1, n)} | {n + i: n + i - 1 for i in range(1, alone, 2)}
     assert sent[0] == 6 * (n + alone) and sent[1] < 4 * sent[0], sent
+    assert edges[1] < n + alone, edges
 
 
 def test_the_pipeline_shuffles_texts_of_candidates_only(spark):
