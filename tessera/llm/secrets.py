@@ -23,8 +23,8 @@ ENCODINGS = (
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+\z", r"[2-7]", r"[A-Z]"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", r"^[0-9a-z]+\z", r"[0-9]", r"[a-z]"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[0-9A-Z]+\z", r"[0-9]", r"[A-Z]"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+\z", r"[0-9].*[A-Z]|[A-Z].*[0-9]", r"[a-z]"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+\z", r"[0-9].*[A-Z]|[A-Z].*[0-9]", r"[a-z]"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+\z", r"[0-9]", r"[A-Z]", r"[a-z]"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+\z", r"[0-9]", r"[A-Z]", r"[a-z]"),
 )
 #: Upper ends of the length bands within which false discoveries are held.
 BANDS = (24, 32, 48, 64, 128)
@@ -42,11 +42,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         whole_ = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
         def of(m: Column) -> Column:
+            # what a lambda uses is bound before it: else the text is split again for each match
             gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
             sizes = F.transform(m, lambda x: F.char_length(x))
-            steps = F.transform(sizes, lambda x, i: x + F.get(gaps, i))
+            steps = let(gaps, lambda g: F.transform(sizes, lambda x, i: x + F.get(g, i)))
             return let(
-                F.struct(scan(steps, lambda a, b: a + b).alias("ends"), sizes.alias("sizes")),
+                F.struct(let(steps, lambda s: scan(s, lambda a, b: a + b)).alias("ends"), sizes.alias("sizes")),
                 lambda s: F.transform(found, lambda f, i: F.struct((F.get(s["ends"], i) - F.get(s["sizes"], i)).alias("start"), F.get(s["ends"], i).alias("end"), f.alias("found"))),
             )
 

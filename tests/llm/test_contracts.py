@@ -294,6 +294,17 @@ def test_secrets(docs, plain):
     assert secrets.found_spans(empty(docs)).count() == 0
 
 
+def test_secrets_are_counted_by_kind_and_long_texts_end(spark, docs, plain, tmp_path):
+    from tessera.llm.entry import op4_secrets
+
+    long = [(910001, "token=abcdef " * 1500), (910002, "AKIA" * 30000)]
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op4_secrets(spark, str(tmp_path)).collect()}
+    for i, t in [*plain, *long]:
+        base = brute.base_spans(t)
+        assert got[i] == (*[sum(s[1] == k for s in base) for k in range(3)], brute.sha(brute.listed(base))), i
+
+
 def test_redaction_keeps_all_but_the_secrets(docs, plain):
     new = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     from pyspark.sql import functions as F
