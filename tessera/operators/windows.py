@@ -92,18 +92,34 @@ def pipe_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select("pos", F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(escape_cell(F.col(c).cast("string")), F.lit("")) for c in columns]), F.lit(" |")).alias("content"))
 
 
-def islands(df: DataFrame, by: Sequence[str], pos: str, value: Sequence[str]) -> DataFrame:
-    """(by, value, first, last): runs of consecutive positions with equal values."""
-    rank = F.row_number().over(Window.partitionBy(*by, *value).orderBy(pos))
-    return df.withColumn("run_", F.col(pos) - rank).groupBy(*by, *value, "run_").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("run_")
-
-
-def inverted_index(df: DataFrame, column: str, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
-    """(by, column, rows): each value with its row ranges as a:b, c, ..."""
-    runs = islands(df.select(*by, column, pos), by, pos, [column])
+#: Positions that one task numbers at once where a value may stand anywhere in a table.
+BLOCK = 1 << 16
+
+
+def islands(df: DataFrame, by: Sequence[str], pos: str, value: Sequence[str], block: int | None = None) -> DataFrame:
+    """(by, value, first, last): runs of consecutive positions with equal values. With block, rows are numbered within so
+    many positions, from how many stand before them, so that a value of many rows is many tasks."""
+    keys = [*by, *value]
+    if block is None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
+    else:
+        df = df.withColumn("block_", F.floor(F.col(pos) / block))
+        before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))
+        counts = df.groupBy(*keys, "block_").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(before, F.lit(0))).drop("n_")
+        counts = counts.withColumnsRenamed({c: f"k{i}_" for i, c in enumerate([*keys, "block_"])})
+        on = [F.col(c).eqNullSafe(F.col(f"k{i}_")) for i, c in enumerate([*keys, "block_"])]
+        df = df.join(counts, on, "left").select(*df.columns, "before_")
+        rank = F.row_number().over(Window.partitionBy(*keys, "block_").orderBy(pos)) + F.col("before_")
+    return df.withColumn("run_", F.col(pos) - rank).groupBy(*keys, "run_").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("run_")
+
+
+def inverted_index(df: DataFrame, column: str, by: Sequence[str] = (), pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """(by, column, rows): each value with its row ranges as a:b, c, ... Ranges are joined by blocks, then blocks in order."""
+    runs = islands(df.select(*by, column, pos), by, pos, [column], block)
     text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws(":", "first", "last"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", text.alias("t")))), lambda x: x["t"]), ", ")
-    return runs.groupBy(*by, column).agg(listed.alias("rows"))
+    joined = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "t"))), lambda x: x["t"]), ", ")
+    parts = runs.select(*by, column, F.floor(F.col("first") / block).alias("block_"), "first", "last", text.alias("t")).groupBy(*by, column, "block_").agg(joined("first", "last").alias("t"))
+    return parts.groupBy(*by, column).agg(joined("block_").alias("rows"))
 
 
 def rectangles(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
